@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -250,8 +251,6 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
 
 
 def _ids_of(model_path: str):
-    import pandas as pd
-
     def ids(texts: pd.Series) -> pd.Series:
         t = prefix_table(model_path)
         return pd.Series([[int(x) for x in t.encode_text(s)[0].split(" ")] for s in texts])
@@ -261,8 +260,6 @@ def _ids_of(model_path: str):
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of each row's ids; a null id list gives "" ."""
-    import pandas as pd
-
     def texts(lists: pd.Series) -> pd.Series:
         t = prefix_table(model_path)
         return pd.Series([t.decode([int(i) for i in x]) if x is not None else "" for x in lists])

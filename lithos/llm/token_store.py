@@ -44,52 +44,58 @@ SHORTEST, USUAL, LONGEST = 64, 256, 2048
 #: Ids that one rolling hash spans.
 SPAN = 16
 DIGEST_BYTES = 16
-#: White space as the tokenizer's pattern \s has it (Unicode's White_Space).
-WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-
-#: What str.split() takes for white space besides.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Texts of these characters alone need no normal form, and are cut as the tokenizer's own pattern cuts them.
+PLAIN = re.compile("[\t-\r -~\xa0-\xff]*")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
 class WordIds:
-    """Ids of whole texts; those of words between white space are remembered.
+    """Ids of whole texts; those of the tokenizer's words are remembered.
 
-    The tokenizer drops white space and no match, merge or normal form spans it,
-    so a text's ids are those of its words, one after the other.
+    The tokenizer lower-cases, drops white space and encodes each word of its
+    pattern by itself, closing it with a token of the word-end kind. New words of
+    a text are encoded together and parted at these tokens. A text that holds
+    other characters than the plain ones, or the marks of special tokens, is
+    encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.wide = self.tok.get_vocab_size() > 65536
+        vocab = self.tok.get_vocab()
+        self.wide = max(vocab.values()) >= 65536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.end = np.array([end_id], self.kind).tobytes()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
 
-    def of(self, word: str) -> bytes:
-        got = np.array(self.tok.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(word) <= LONGEST_KEPT:
-            if len(self.kept) >= KEEP_WORDS:
-                self.kept.clear()
-            self.kept[word] = got
-        return got
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        cuts = np.flatnonzero(self.closes[ids]) + 1
+        if len(cuts) != len(words):  # a word the pattern cuts further beside a space
+            return {w: np.array(self.tok.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in words}
+        raw, unit = ids.tobytes(), self.kind.itemsize
+        return {w: raw[a * unit : b * unit] for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)}
 
     def text(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        words = WHITE.split(text) if SEPARATORS.search(text) else text.split()
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
+        words = WORDS.findall(text.lower())
         kept = self.kept
-        missing = [w for w in dict.fromkeys(words) if w and w not in kept]
-        own = {}
-        if missing:
-            for w, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                own[w] = np.array(e.ids, self.kind).tobytes()
-        parts = [own.get(w) if w in own else kept.get(w) or (self.of(w) if w else b"") for w in words] if own else [kept[w] for w in words if w]
+        try:
+            return b"".join([kept[w] for w in words]) + self.end
+        except KeyError:
+            pass
+        own = self.learn([w for w in dict.fromkeys(words) if w not in kept])
+        out = b"".join([kept[w] if w in kept else own[w] for w in words]) + self.end
         if len(kept) + len(own) > KEEP_WORDS:
             kept.clear()
         kept.update((w, b) for w, b in own.items() if len(w) <= LONGEST_KEPT)
-        return b"".join(parts) + self.end
+        return out
 
 
 @lru_cache(maxsize=2)
