@@ -69,7 +69,8 @@ class WordIds:
         self.end = np.array([end_id], self.kind).tobytes()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # of the pattern's words
+        self.parts: dict[str, bytes] = {}  # of strings between white space, as they are
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
@@ -84,18 +85,22 @@ class WordIds:
             return self.end
         if "<|" in text or not PLAIN.fullmatch(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
-        words = WORDS.findall(text.lower())
-        kept = self.kept
-        try:
-            return b"".join([kept[w] for w in words]) + self.end
-        except KeyError:
-            pass
-        own = self.learn([w for w in dict.fromkeys(words) if w not in kept])
-        out = b"".join([kept[w] if w in kept else own[w] for w in words]) + self.end
-        if len(kept) + len(own) > KEEP_WORDS:
-            kept.clear()
-        kept.update((w, b) for w, b in own.items() if len(w) <= LONGEST_KEPT)
-        return out
+        words = text.split()
+        found = list(map(self.parts.get, words))
+        if None in found:
+            missing = {w: WORDS.findall(w.lower()) for w, f in zip(words, found, strict=True) if f is None}
+            kept = self.kept
+            new = list(dict.fromkeys(x for xs in missing.values() for x in xs if x not in kept))
+            own = self.learn(new) if new else {}
+            if len(kept) + len(own) > KEEP_WORDS:
+                kept = self.kept = {x: kept[x] for xs in missing.values() for x in xs if x in kept}
+            kept.update(own)
+            spelled = {w: b"".join([kept[x] for x in xs]) for w, xs in missing.items()}
+            found = [spelled[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            if len(self.parts) + len(spelled) > KEEP_WORDS:
+                self.parts.clear()
+            self.parts.update((w, b) for w, b in spelled.items() if len(w) <= LONGEST_KEPT)
+        return b"".join(found) + self.end
 
 
 @lru_cache(maxsize=2)
