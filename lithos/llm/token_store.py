@@ -29,6 +29,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 
 from lithos.llm.common import odd_powers, shared_dir, table
 
-KEEP_WORDS = 600_000
+KEEP_WORDS = 1_200_000
+#: Bytes of texts that are encoded together.
+TOGETHER = 1 << 19
 LONGEST_KEPT = 48
 #: Chunk lengths in ids: shortest, usual (a power of two), longest.
 SHORTEST, USUAL, LONGEST = 64, 256, 2048
@@ -69,11 +72,10 @@ class WordIds:
         self.end = np.array([end_id], self.kind).tobytes()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.kept: dict[str, bytes] = {}  # of the pattern's words
-        self.parts: dict[str, bytes] = {}  # of strings between white space, as they are
+        self.kept: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
         cuts = np.flatnonzero(self.closes[ids]) + 1
         if len(cuts) != len(words):  # a word the pattern cuts further beside a space
             return {w: np.array(self.tok.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in words}
@@ -85,22 +87,31 @@ class WordIds:
             return self.end
         if "<|" in text or not PLAIN.fullmatch(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
-        words = text.split()
-        found = list(map(self.parts.get, words))
-        if None in found:
-            missing = {w: WORDS.findall(w.lower()) for w, f in zip(words, found, strict=True) if f is None}
-            kept = self.kept
-            new = list(dict.fromkeys(x for xs in missing.values() for x in xs if x not in kept))
-            own = self.learn(new) if new else {}
-            if len(kept) + len(own) > KEEP_WORDS:
-                kept = self.kept = {x: kept[x] for xs in missing.values() for x in xs if x in kept}
-            kept.update(own)
-            spelled = {w: b"".join([kept[x] for x in xs]) for w, xs in missing.items()}
-            found = [spelled[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            if len(self.parts) + len(spelled) > KEEP_WORDS:
-                self.parts.clear()
-            self.parts.update((w, b) for w, b in spelled.items() if len(w) <= LONGEST_KEPT)
-        return b"".join(found) + self.end
+        return self.texts([text])[0]
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of several texts with the end id each; their new words are encoded in one go."""
+        kept, out, plain, new = self.kept, [b""] * len(texts), [], {}
+        for k, text in enumerate(texts):
+            if not text or "<|" in text or not PLAIN.fullmatch(text):
+                out[k] = self.text(text)
+                continue
+            words = WORDS.findall(text.lower())
+            plain.append((k, words))
+            found = list(map(kept.get, words))
+            out[k] = found
+            if None in found:
+                new.update(zip([w for w, f in zip(words, found, strict=True) if f is None], repeat(None)))
+        own = self.learn(list(new)) if new else {}
+        for k, words in plain:
+            found = out[k]
+            if None in found:
+                found = [own[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            out[k] = b"".join(found) + self.end
+        if len(kept) + len(own) > KEEP_WORDS:
+            kept.clear()
+        kept.update((w, b) for w, b in own.items() if len(w) <= LONGEST_KEPT)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -108,6 +119,17 @@ def word_ids(path: str, end_id: int) -> WordIds:
     return WordIds(path, end_id)
 
 
+def in_groups(texts: pa.Array, words: WordIds) -> Iterator[bytes]:
+    held, size = [], 0
+    for x in texts:
+        held.append(t := x.as_py())
+        size += len(t or "")
+        if size > TOGETHER:
+            yield from words.texts(held)
+            held, size = [], 0
+    yield from words.texts(held)
+
+
 def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one id stream, by its content alone."""
     n = len(ids)
@@ -172,8 +194,7 @@ def encoded(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                     x.clear()
                 return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "hashes", "root", "h", "n", "payload"])
 
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                raw = words.text(text.as_py())
+            for doc, raw in zip(b.column(0), in_groups(b.column(1), words), strict=True):
                 ids = np.frombuffer(raw, words.kind)
                 at, own = 0, []
                 for end in cut_points(ids):
@@ -319,14 +340,16 @@ def read_digests(spark: SparkSession, path: str, wide: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crcs, sizes, first = [], [], []
-            for n, root, parts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if any(p["crc"] is None for p in parts) or merkle([p["h"] for p in parts]) != root or sum(p["size"] for p in parts) != 4 * n:
-                    raise ValueError("a document can't be rebuilt: a chunk is missing or its Merkle root differs")
-                first.append(len(crcs))
-                crcs += [p["crc"] for p in parts]
-                sizes += [p["size"] for p in parts]
-            out = joined_crcs(np.array(crcs, np.uint64), np.array(sizes, np.int64), np.array(first, np.int64)) if first else []
+            lists = b.column(4)
+            flat = lists.flatten()
+            size, crc = flat.field("size"), flat.field("crc")
+            first = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
+            ends = np.append(first[1:], len(flat))
+            h = flat.field("h").to_pylist()
+            whole = not crc.null_count and (np.add.reduceat(np.asarray(size), first) == 4 * np.asarray(b.column(2))).all() if len(first) else True
+            if not whole or any(merkle(h[x:y]) != root for x, y, root in zip(first.tolist(), ends.tolist(), b.column(3).to_pylist(), strict=True)):
+                raise ValueError("a document can't be rebuilt: a chunk is missing or its Merkle root differs")
+            out = joined_crcs(np.asarray(crc).astype(np.uint64), np.asarray(size), first.astype(np.int64)) if len(first) else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.mapInArrow(run, DIGESTS)
