@@ -107,7 +107,7 @@ PROBES = np.stack([np.random.default_rng(k + 1).permutation(REGISTERS) for k in
 COLLISION = 0.169919487159739
 #: Standard deviations an estimate may lie below the threshold before a pair is dropped.
 SIGMAS = 5.0
-BLOCK = 128
+BLOCK = 1024
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
