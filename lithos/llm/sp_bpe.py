@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
@@ -253,7 +254,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
 def _ids_of(model_path: str):
     def ids(texts: pd.Series) -> pd.Series:
         t = prefix_table(model_path)
-        return pd.Series([[int(x) for x in t.encode_text(s)[0].split(" ")] for s in texts])
+        return pd.Series([np.array(t.encode_text(s)[0].split(" "), np.int32) for s in texts])
 
     return ids
 
@@ -284,6 +285,24 @@ def digests(df: DataFrame, model_path: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST)
 
 
+def encoded(df: DataFrame, model_path: str) -> DataFrame:
+    """Per row of (doc_id, source, text): its ids, their count, and the digests of ids and decoded text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = prefix_table(model_path)
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                rows = [t.encode_text(x.as_py()) for x in b.column(2)]
+                ids = [np.array(i.split(" "), np.int32) for i, _ in rows]
+                cols = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([sha(i) for i, _ in rows], pa.string()), pa.array([sha(d) for _, d in rows], pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded and decoded again; digests of both."""
     return digests(table(spark, sf_dir, "documents"), default_model())
