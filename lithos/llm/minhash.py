@@ -9,8 +9,8 @@ far below the threshold is dropped; the rest is confirmed on the full sets.
 
 Equal sets are one class, and only classes are compared. In every band key the
 smallest class is tested against the others (a star). Linked classes are joined
-into components; where a key still holds several components, its members are
-compared across them in blocks of bounded size. So the links that matter are all
+into components; where keys still hold several components, the documents that
+share such keys are compared across components in blocks of bounded size. So the links that matter are all
 tested while a group of copies never becomes all its pairs.
 
 Defined results: null texts and texts without words have the empty set and link
@@ -107,7 +107,7 @@ PROBES = np.stack([np.random.default_rng(k + 1).permutation(REGISTERS) for k in
 COLLISION = 0.169919487159739
 #: Standard deviations an estimate may lie below the threshold before a pair is dropped.
 SIGMAS = 5.0
-BLOCK = 1024
+BLOCK = 512
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -243,40 +243,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-MEMBER = "k long, band int, doc long, label long, n long, regs binary"
+def links_across(members: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Confirmed links that join different labels, from members (grp, doc, label, n, regs, s).
 
-
-def candidates(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across labels inside each (key, block pair) whose estimate is high enough.
-
-    A pair is given by the first of the bands it shares only.
+    Groups are cut into blocks and compared block by block: pairs that share a
+    band and whose estimate is high enough are confirmed on the full sets, unless
+    links found in the block already join their labels. So a block gives fewer
+    links than it has members.
     """
 
     def run(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         block = np.asarray(t.column("block"))
-        band = t.column("band")[0].as_py()
         reg = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        packed = np.ascontiguousarray(reg).view(np.uint64)  # one number a band
         doc, label, n = (np.asarray(t.column(c)) for c in ("doc", "label", "n"))
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
+        root = {k: k for k in label.tolist()}
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out_a, out_b = [], []
-        packed = np.ascontiguousarray(reg).view(np.uint64)  # one number a band
         for x in left:
             ys = right[(label[right] != label[x]) & ((i != j) | (doc[right] > doc[x]))]
+            ys = ys[(packed[ys] == packed[x]).any(1)]
             if len(ys):
-                ys = ys[~(packed[ys, :band] == packed[x, :band]).any(1)]
-            if len(ys):
-                e = estimate(reg[x][None], reg[ys], n[x], n[ys])
-                ys = ys[e >= least_estimate(threshold, n[x], n[ys])]
-                out_a += [doc[x]] * len(ys)
-                out_b += doc[ys].tolist()
+                ys = ys[estimate(reg[x][None], reg[ys], n[x], n[ys]) >= least_estimate(threshold, n[x], n[ys])]
+            for y in ys.tolist():
+                if (fx := find(int(label[x]))) == (fy := find(int(label[y]))):
+                    continue
+                both = shared(sets[x], sets[y])
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    root[max(fx, fy)] = min(fx, fy)
+                    out_a.append(doc[x])
+                    out_b.append(doc[y])
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    count = members.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = members.join(count, "k").withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("of")).cast("int"))
+    count = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("of"))
+    own = members.join(count, "grp").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("of")).cast("int"))
     spread = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-    return spread.select("k", "band", "doc", "label", "n", "regs", "block", "i", "j").groupBy("k", "i", "j").applyInArrow(run, "a long, b long")
+    return spread.select("grp", "doc", "label", "n", "regs", "s", "block", "i", "j").groupBy("grp", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -317,8 +327,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     roots = components(links)
     labelled = shared_keys.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("label", F.coalesce("root", "doc"))
     mixed = labelled.groupBy("k").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("k")
-    open_keys = labelled.join(mixed, "k", "left_semi").select("k", "band", "doc", "label").join(sketch_of, "doc").select("k", "band", "doc", "label", "n", "regs")
-    more = staged(confirmed(candidates(open_keys, threshold), sets, percent), "links")
+    open_keys = staged(labelled.join(mixed, "k", "left_semi").select("k", "doc", "label"), "open")
+    heads = open_keys.groupBy("k").agg(F.min("doc").alias("b"))
+    groups = components(open_keys.join(heads, "k").select(F.col("doc").alias("a"), "b").distinct())
+    members = open_keys.select("doc", "label").distinct().join(groups.select(F.col("node").alias("doc"), F.col("root").alias("grp")), "doc").join(sketch_of, "doc").join(sets, "doc")
+    more = staged(links_across(members, threshold, percent), "links")
     roots = components(links.unionByName(more))
     named = sketch.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     found = F.coalesce("root", "rep", "doc_id")
