@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from lithos.llm.common import table
 
 SPACE = "▁"
-KEEP_PARTS = 600_000
+KEEP_PARTS = 300_000
 KEEP_PAIRS = 2_000_000
 LONGEST_KEPT = 48
 
@@ -71,7 +71,9 @@ class PrefixTable:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.kept: dict[str, tuple[str, str]] = {}
+        self.kept: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     def merged(self, text: str, halves: dict | None = None) -> list[int]:
         """Ids by the definition: the best-scored pair first, of equals the leftmost."""
@@ -173,17 +175,19 @@ class PrefixTable:
                 out.append(self.unknown_id)
         return out
 
-    def part(self, part: str) -> tuple[str, str]:
-        """The part's ids as decimal text, and its decoded text."""
-        got = self.kept.get(part)
+    def part(self, part: str) -> str:
+        """The part's ids as decimal text; ``odd`` gets its decoded text where that differs from it."""
+        got = self.older.get(part)
         if got is None:
             ids = self.part_ids(part)
-            raw = self.raw_text(ids)
-            got = (" ".join(map(str, ids)), part if raw == part else raw)
-            if len(part) <= LONGEST_KEPT:
-                if len(self.kept) >= KEEP_PARTS:
-                    self.kept.clear()
-                self.kept[part] = got
+            got = " ".join(map(str, ids))
+            if (raw := self.raw_text(ids)) != part:
+                self.odd[part] = raw
+        if len(part) <= LONGEST_KEPT:
+            if len(self.kept) >= KEEP_PARTS:  # what was not asked for since the last turn goes
+                self.older, self.kept = self.kept, {}
+                self.odd = {k: v for k, v in self.odd.items() if k in self.older}
+            self.kept[part] = got
         return got
 
     def raw_text(self, ids: list[int]) -> str:
@@ -212,11 +216,12 @@ class PrefixTable:
         """Ids (with the end id) as decimal text, and the decoded text."""
         if not text:
             return str(self.end_id), ""
-        kept, found = self.kept, []
+        all_parts, found = [], []
         new_line = self.part("\n")
         for k, line in enumerate((SPACE + text.replace(" ", SPACE)).split("\n")):
             if k:
                 found.append(new_line)
+                all_parts.append("\n")
             if SPACE + SPACE in line or line.endswith(SPACE):
                 parts = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line)
             else:
@@ -224,9 +229,15 @@ class PrefixTable:
                 parts = [SPACE + w for w in rest]
                 if first:
                     parts.insert(0, first)
-            for p in parts:
-                found.append(kept.get(p) or self.part(p))
-        return " ".join([x[0] for x in found]) + f" {self.end_id}", self.shown("".join([x[1] for x in found]))
+            kept = self.kept
+            got = list(map(kept.get, parts))
+            if None in got:
+                got = [g or self.part(p) for g, p in zip(got, parts, strict=True)]
+            found += got
+            all_parts += parts
+        if self.odd:
+            all_parts = [self.odd.get(p, p) for p in all_parts]
+        return " ".join(found) + f" {self.end_id}", self.shown("".join(all_parts))
 
 
 @lru_cache(maxsize=2)
