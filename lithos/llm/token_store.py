@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithos.llm.common import odd_powers, shared_dir, table
+from lithos.llm.common import shared_dir, table
 
 KEEP_WORDS = 1_200_000
 #: Bytes of texts that are encoded together.
@@ -47,9 +47,21 @@ SHORTEST, USUAL, LONGEST = 64, 256, 2048
 #: Ids that one rolling hash spans.
 SPAN = 16
 DIGEST_BYTES = 16
-#: Texts of these characters alone need no normal form, and are cut as the tokenizer's own pattern cuts them.
-PLAIN = re.compile("[\t-\r -~\xa0-\xff]*")
-WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: Texts of these Latin-1 characters alone need no normal form, and are cut as the tokenizer's own pattern cuts them.
+PLAIN = bytes([*range(9, 14), *range(32, 127), *range(160, 256)])
+LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+DIGITS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
+WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + LETTERS + rb"]+|[" + DIGITS + rb"]|[^\t-\r \xa0" + LETTERS + DIGITS + rb"]+")
+LOWER = bytes(b + 32 if 65 <= b <= 90 or 192 <= b <= 222 and b != 215 else b for b in range(256))
+
+
+def plain(text: str) -> bytes | None:
+    """The text lower-cased in Latin-1, if it is plain and free of special tokens' marks."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if raw.translate(None, PLAIN) or b"<|" in raw else raw.translate(LOWER)
 
 
 class WordIds:
@@ -72,38 +84,38 @@ class WordIds:
         self.end = np.array([end_id], self.kind).tobytes()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        ids = np.array(self.tok.encode_batch_fast([b" ".join(words).decode("latin-1")], add_special_tokens=False)[0].ids, self.kind)
         cuts = np.flatnonzero(self.closes[ids]) + 1
         if len(cuts) != len(words):  # a word the pattern cuts further beside a space
-            return {w: np.array(self.tok.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in words}
+            return {w: np.array(self.tok.encode(w.decode("latin-1"), add_special_tokens=False).ids, self.kind).tobytes() for w in words}
         raw, unit = ids.tobytes(), self.kind.itemsize
         return {w: raw[a * unit : b * unit] for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)}
 
     def text(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if "<|" in text or not PLAIN.fullmatch(text):
+        if plain(text) is None:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
         return self.texts([text])[0]
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of several texts with the end id each; their new words are encoded in one go."""
-        kept, out, plain, new = self.kept, [b""] * len(texts), [], {}
+        kept, out, cut, new = self.kept, [b""] * len(texts), [], {}
         for k, text in enumerate(texts):
-            if not text or "<|" in text or not PLAIN.fullmatch(text):
+            if not text or (raw := plain(text)) is None:
                 out[k] = self.text(text)
                 continue
-            words = WORDS.findall(text.lower())
-            plain.append((k, words))
+            words = WORDS.findall(raw)
+            cut.append((k, words))
             found = list(map(kept.get, words))
             out[k] = found
             if None in found:
                 new.update(zip([w for w, f in zip(words, found, strict=True) if f is None], repeat(None)))
         own = self.learn(list(new)) if new else {}
-        for k, words in plain:
+        for k, words in cut:
             found = out[k]
             if None in found:
                 found = [own[w] if f is None else f for w, f in zip(words, found, strict=True)]
@@ -130,29 +142,30 @@ def in_groups(texts: pa.Array, words: WordIds) -> Iterator[bytes]:
     yield from words.texts(held)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream, by its content alone."""
-    n = len(ids)
-    if n <= SHORTEST:
-        return [n] if n else []
-    weights = odd_powers(SPAN, 0x9E3779B97F4A7C15)
+def rolled(ids: np.ndarray) -> np.ndarray:
+    """Positions after which the hash of the last SPAN ids asks for a cut."""
+    if len(ids) < SPAN:
+        return np.zeros(0, np.int64)
     x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
-    rolled = np.convolve(x, weights)[SPAN - 1 : n]  # of the SPAN ids up to each position
-    ends = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(USUAL) == 0) + SPAN
+    h = x
+    have = 1
+    while have < SPAN:  # of twice as many ids each time
+        h = h[have:] + h[:-have] * np.uint64(pow(0x9E3779B97F4A7C15, have, 1 << 64))
+        have *= 2
+    return np.flatnonzero((h >> np.uint64(40)) % np.uint64(USUAL) == 0) + SPAN
+
+
+def cut_points(n: int, asked: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids, of the cuts its content asks for."""
     out, at = [], 0
-    for e in ends.tolist():
+    for e in (*asked, n):
         while e - at > LONGEST:
             at += LONGEST
             out.append(at)
-        if e - at >= SHORTEST:
+        if e - at >= SHORTEST or e == n and e > at:
             out.append(e)
             at = e
-    while n - at > LONGEST:
-        at += LONGEST
-        out.append(at)
-    if at < n:
-        out.append(n)
     return out
 
 
@@ -197,7 +210,7 @@ def encoded(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             for doc, raw in zip(b.column(0), in_groups(b.column(1), words), strict=True):
                 ids = np.frombuffer(raw, words.kind)
                 at, own = 0, []
-                for end in cut_points(ids):
+                for end in cut_points(len(ids), rolled(ids).tolist()):
                     chunk = raw[at * unit : end * unit]
                     h = address(chunk)
                     own.append(h)
