@@ -109,7 +109,7 @@ class ByteConv:
 
 def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_class: int = TRAIN_DOCS) -> ByteConv | None:
     """A network fitted to a bounded sample of the rows of ``docs`` with a label and a letter."""
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGS).collect()}
     if not counts:
         return None
