@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithos.llm import language_id, minhash, mixing, repeats, sp_bpe
-from lithos.llm.common import staged, table
+from lithos.llm.common import small_batches, staged, table
 
 #: Near-duplicates: words of a shingle, per cent of the union that is shared.
 SHINGLE, SIMILAR = 5, 80
@@ -23,6 +23,7 @@ MOST_REPEATS = 1.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language that was learned; fills in a language that is not given."""
+    small_batches(spark)
     net = language_id.train(docs)
     found = language_id.label(docs, net, lang_col="_lang", score_col="_score")
     kept = found.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE))
@@ -53,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and digests of the ids and of what they decode to."""
+    small_batches(spark)
     return sp_bpe.encoded(docs, sp_bpe.default_model())
 
 

@@ -9,8 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that go to a Python worker at once: whole texts are long, so that a batch stays at some megabytes.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` of the folder ``sf_dir``, read by Spark (any file system it knows)."""
+    """Table ``name`` of the folder ``sf_dir``, read by Spark (any file system it knows).
+
+    Batches to Python workers are kept at ``BATCH_ROWS`` from then on in this session.
+    """
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -35,6 +47,7 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     being computed twice. The schema is given, so an empty table keeps it.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

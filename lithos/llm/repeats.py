@@ -36,7 +36,7 @@ from lithos.llm.minhash import BASE, BYTE_CODE, INVERSE
 from lithos.llm.suffix_sort import equal_classes
 
 LENGTH, GRAM = 100, 24
-PIECE = 4 << 20
+PIECE = 1 << 20
 INDEX_BITS = np.uint64(24)
 #: Documents sampled for very common anchors; different segments there that make an anchor common.
 SAMPLE_DOCS, COMMON = 4000, 24

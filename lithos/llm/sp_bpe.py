@@ -24,6 +24,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import ahocorasick
 import numpy as np
@@ -38,7 +40,7 @@ from lithos.llm.common import table
 
 SPACE = "▁"
 KEEP_PARTS = 300_000
-KEEP_PAIRS = 2_000_000
+KEEP_PAIRS = 400_000
 LONGEST_KEPT = 48
 
 
@@ -70,7 +72,7 @@ class PrefixTable:
             if self.merged(p, self.halves) == [i]:  # a piece that merging never reaches is no token
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.kept: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.odd: dict[str, str] = {}
@@ -94,11 +96,11 @@ class PrefixTable:
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves a | b apart: undo their merges, latest first, and
         look for a pair across the border that would have been merged before."""
-        got = self.pairs.get((a, b))
+        got = self.pairs.get(key := a << 24 | b)
         if got is None:
             if len(self.pairs) >= KEEP_PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.stay_apart(a, b)
+            got = self.pairs[key] = self.stay_apart(a, b)
         return got
 
     def stay_apart(self, a: int, b: int) -> bool:
@@ -231,8 +233,9 @@ class PrefixTable:
                     parts.insert(0, first)
             kept = self.kept
             got = list(map(kept.get, parts))
-            if None in got:
-                got = [g or self.part(p) for g, p in zip(got, parts, strict=True)]
+            if not all(got):
+                for i in list(compress(range(len(got)), map(not_, got))):
+                    got[i] = self.part(parts[i])
             found += got
             all_parts += parts
         if self.odd:

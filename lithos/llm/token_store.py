@@ -29,7 +29,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -110,15 +111,15 @@ class WordIds:
                 continue
             words = WORDS.findall(raw)
             cut.append((k, words))
-            found = list(map(kept.get, words))
-            out[k] = found
-            if None in found:
-                new.update(zip([w for w, f in zip(words, found, strict=True) if f is None], repeat(None)))
+            out[k] = list(map(kept.get, words))
+            if not all(out[k]):
+                new.update(zip(compress(words, map(not_, out[k])), repeat(None)))
         own = self.learn(list(new)) if new else {}
         for k, words in cut:
             found = out[k]
-            if None in found:
-                found = [own[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            if not all(found):
+                for i in list(compress(range(len(found)), map(not_, found))):
+                    found[i] = own[words[i]]
             out[k] = b"".join(found) + self.end
         if len(kept) + len(own) > KEEP_WORDS:
             kept.clear()

@@ -10,7 +10,7 @@ import pyarrow as pa
 BLANK = 32
 
 
-def windows(texts: pa.Array, length: int, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def windows(texts: pa.Array, length: int, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, windows, window's row) of a column of texts, piece by piece.
 
     Every byte of every text is in exactly one window; a text's last window is
