@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,21 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
+_held: list = [None, None]
+
+
+def hold(owner: str, free=None) -> None:
+    """In a Python worker: tables of one operator at a time; those of the one before are dropped."""
+    if _held[0] != owner:
+        if _held[1] is not None:
+            _held[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # gives freed pages back where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+    _held[:] = owner, free
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

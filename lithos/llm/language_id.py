@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm.common import id_fold, table
+from lithos.llm.common import hold, id_fold, table
 from lithos.llm.sharding import chance
 from lithos.llm.windows import BLANK, adam, windows
 
@@ -136,6 +136,7 @@ FOUND = "lang_pred string, score double"
 
 
 def predict(texts: pa.Array, net: ByteConv) -> tuple[list[str], list[float]]:
+    hold("language")
     if net.tables is None:
         net.prepare()
     langs, scores = [], []

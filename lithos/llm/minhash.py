@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm.common import mix64, odd_powers, staged, table
+from lithos.llm.common import hold, mix64, odd_powers, staged, table
 from lithos.llm.components import components
 
 BASE = 0x9E3779B97F4A7C15
@@ -167,6 +167,7 @@ def sketches(df: DataFrame, words: int) -> DataFrame:
     """Per document: set size, two sums that name the set, and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("sets")
         for b in batches:
             kept: list[np.ndarray] = []
             at = held = 0
@@ -189,7 +190,7 @@ def sketches(df: DataFrame, words: int) -> DataFrame:
             for s in shingle_sets(b.column(1), words):
                 kept.append(s)
                 held += len(s)
-                if held > 2_000_000:
+                if held > 500_000:
                     yield flush()
             if kept:
                 yield flush()

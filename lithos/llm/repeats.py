@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm.common import mix64, odd_powers, staged, table
+from lithos.llm.common import hold, mix64, odd_powers, staged, table
 from lithos.llm.minhash import BASE, BYTE_CODE, INVERSE
 from lithos.llm.suffix_sort import equal_classes
 
@@ -116,6 +116,7 @@ def anchors(rows: DataFrame, common: np.ndarray) -> DataFrame:
     """Segments of every text. Of equal ones in a batch the first has its key, the others none: they go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("repeats")
         for b in batches:
             ids = np.asarray(b.column(0), np.int64)
             parts = []

@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import table
+from lithos.llm.common import hold, table
 
 SPACE = "▁"
-KEEP_PARTS = 300_000
-KEEP_PAIRS = 400_000
+KEEP_PARTS = 240_000
+KEEP_PAIRS = 300_000
 LONGEST_KEPT = 48
 
 
@@ -243,11 +243,16 @@ class PrefixTable:
         return " ".join(found) + f" {self.end_id}", self.shown("".join(all_parts))
 
 
-@lru_cache(maxsize=2)
-def prefix_table(model_path: str) -> PrefixTable:
+@lru_cache(maxsize=1)
+def _prefix_table(model_path: str) -> PrefixTable:
     return PrefixTable(model_path)
 
 
+def prefix_table(model_path: str) -> PrefixTable:
+    hold("pieces", _prefix_table.cache_clear)
+    return _prefix_table(model_path)
+
+
 def default_model() -> str:
     import public_tokenizers
 

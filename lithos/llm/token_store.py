@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithos.llm.common import shared_dir, table
+from lithos.llm.common import hold, shared_dir, table
 
 KEEP_WORDS = 1_200_000
 #: Bytes of texts that are encoded together.
@@ -127,11 +127,16 @@ class WordIds:
         return out
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str, end_id: int) -> WordIds:
+@lru_cache(maxsize=1)
+def _word_ids(path: str, end_id: int) -> WordIds:
     return WordIds(path, end_id)
 
 
+def word_ids(path: str, end_id: int) -> WordIds:
+    hold("words", _word_ids.cache_clear)
+    return _word_ids(path, end_id)
+
+
 def in_groups(texts: pa.Array, words: WordIds) -> Iterator[bytes]:
     held, size = [], 0
     for x in texts:
