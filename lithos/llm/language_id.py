@@ -164,7 +164,8 @@ def label(df: DataFrame, net: ByteConv | None, text_col: str = "text", lang_col:
         langs, scores = predict(pa.array(text, pa.string(), from_pandas=True), net)
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    found = F.pandas_udf(run, FOUND)(F.col(text_col))
+    # a filter on the columns found stays above them: pushed below, it would run the network a second time
+    found = F.pandas_udf(run, FOUND).asNondeterministic()(F.col(text_col))
     mark = "_found_language"
     return df.withColumn(mark, found).withColumn(lang_col, F.col(f"{mark}.lang_pred")).withColumn(score_col, F.col(f"{mark}.score")).drop(mark)
 
