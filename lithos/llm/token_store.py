@@ -24,6 +24,7 @@ repeats before the shuffle, and checksums, not payloads, are joined back.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -52,7 +53,7 @@ DIGEST_BYTES = 16
 PLAIN = bytes([*range(9, 14), *range(32, 127), *range(160, 256)])
 LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 DIGITS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
-WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + LETTERS + rb"]+|[" + DIGITS + rb"]|[^\t-\r \xa0" + LETTERS + DIGITS + rb"]+")
+WORDS = re.compile(rb"[" + LETTERS + rb"]+|'(?:s|t|re|ve|m|ll|d)|[" + DIGITS + rb"]|[^\t-\r \xa0" + LETTERS + DIGITS + rb"]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 or 192 <= b <= 222 and b != 215 else b for b in range(256))
 
 
@@ -65,6 +66,18 @@ def plain(text: str) -> bytes | None:
     return None if raw.translate(None, PLAIN) or b"<|" in raw else raw.translate(LOWER)
 
 
+def cut_words(path: str):
+    """The tokenizer's model alone, for words in normal form parted by spaces; none is met twice, so nothing is cached."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    tok = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": cut}}))
+    tok.model._resize_cache(0)
+    return tok
+
+
 class WordIds:
     """Ids of whole texts; those of the tokenizer's words are remembered.
 
@@ -79,6 +92,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.bare = cut_words(path)
         vocab = self.tok.get_vocab()
         self.wide = max(vocab.values()) >= 65536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
@@ -88,9 +102,9 @@ class WordIds:
         self.kept: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        ids = np.array(self.tok.encode_batch_fast([b" ".join(words).decode("latin-1")], add_special_tokens=False)[0].ids, self.kind)
+        ids = np.array(self.bare.encode_batch_fast([b" ".join(words).decode("latin-1")], add_special_tokens=False)[0].ids, self.kind)
         cuts = np.flatnonzero(self.closes[ids]) + 1
-        if len(cuts) != len(words):  # a word the pattern cuts further beside a space
+        if len(cuts) != len(words):  # a word that spells out the mark of word ends
             return {w: np.array(self.tok.encode(w.decode("latin-1"), add_special_tokens=False).ids, self.kind).tobytes() for w in words}
         raw, unit = ids.tobytes(), self.kind.itemsize
         return {w: raw[a * unit : b * unit] for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)}
