@@ -30,7 +30,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, repeat
+from itertools import compress
 from operator import not_
 
 import numpy as np
@@ -118,22 +118,24 @@ class WordIds:
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of several texts with the end id each; their new words are encoded in one go."""
-        kept, out, cut, new = self.kept, [b""] * len(texts), [], {}
+        kept, out, open_, new = self.kept, [b""] * len(texts), [], {}
         for k, text in enumerate(texts):
             if not text or (raw := plain(text)) is None:
                 out[k] = self.text(text)
                 continue
             words = WORDS.findall(raw)
-            cut.append((k, words))
-            out[k] = list(map(kept.get, words))
-            if not all(out[k]):
-                new.update(zip(compress(words, map(not_, out[k])), repeat(None)))
+            found = list(map(kept.get, words))
+            if None in found:
+                at = list(compress(range(len(found)), map(not_, found)))
+                lacking = list(map(words.__getitem__, at))
+                new.update(dict.fromkeys(lacking))
+                open_.append((k, found, at, lacking))
+            else:
+                out[k] = b"".join(found) + self.end
         own = self.learn(list(new)) if new else {}
-        for k, words in cut:
-            found = out[k]
-            if not all(found):
-                for i in list(compress(range(len(found)), map(not_, found))):
-                    found[i] = own[words[i]]
+        for k, found, at, lacking in open_:
+            for i, w in zip(at, lacking):
+                found[i] = own[w]
             out[k] = b"".join(found) + self.end
         if len(kept) + len(own) > KEEP_WORDS:
             kept.clear()
@@ -257,9 +259,9 @@ def once(chunks: DataFrame) -> DataFrame:
         seen: set[bytes] = set()
         for b in batches:
             keep = []
-            for h in b.column(0):
-                keep.append((k := h.as_py()) not in seen)
-                seen.add(k)
+            for h in b.column(0).to_pylist():
+                keep.append(h not in seen)
+                seen.add(h)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return chunks.mapInArrow(run, CHUNKS)
