@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lithos import config
 from lithos.functions import scalars as sc
-from lithos.operators import clones, graph, metrics, rules
-from lithos.plans import queries, registry  # noqa: F401
+from lithos.functions import naming
+from lithos.operators import clones, graph, metrics, resolution, rules
+from lithos.plans import naming_queries, queries, registry  # noqa: F401
 from lithos.sources import files, python_source
 
 DATA = "/root/testdata/sf0.001"
@@ -184,3 +185,25 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     scan_events.run_fold(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).drop("epoch").collect()))
     assert got == sorted(map(tuple, scan_events.fold(e).collect()))
+
+
+WRAPPED = [
+    ("several tops", ["main", "models.user", "routers.users"], None),
+    ("one wrapper", ["app", "app.main", "app.api.endpoints", "app.core.config"], "app"),
+    ("nested", ["src.myapp.api.endpoints", "src.myapp.core.config"], "src.myapp"),
+    ("one package below", ["app.api.endpoints", "app.api.schemas"], None),
+    ("nothing", [""], None),
+]
+
+
+def test_wrapper_packages(spark):
+    rows = [(g, n) for g, names, _ in WRAPPED for n in names]
+    got = resolution.wrapper_packages(spark.createDataFrame(rows, "g string, n string"), "g", "n").collect()
+    assert {r.g: r.wrapper for r in got} == {g: w for g, _, w in WRAPPED}
+
+
+def test_alias_edge_cases(spark):
+    x = spark.createDataFrame([("ab",), ("aXb",), (None,), ("a",)], "s string")
+    got = [r[0] for r in x.select(naming.alias_middle(F.col("s"), "a*b")).collect()]
+    assert got == ["", "X", None, None]
+    assert [r[0] for r in x.select(naming.alias_middle(F.col("s"), "ab")).collect()] == ["", None, None, None]
