@@ -2,31 +2,118 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A run of tokens that more files than this share is compared with its first file only.
-COMMON = 50
+#: Base of the rolling hash; it is odd, so that it has an inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def rolling(x: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every run of k values."""
+    n = len(x)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(x * powers(BASE, n), out=total[1:])
+    h = (total[k:] - total[:-k]) * powers(pow(BASE, -1, 1 << 64), n - k + 1)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def least_of(h: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of every w neighbours."""
+    done = 1
+    while done < w:
+        step = min(done, w - done)
+        h, done = np.minimum(h[:-step], h[step:]), done + step
+    return h
+
+
+def marks(x: np.ndarray, least: int) -> np.ndarray:
+    """For each run of ``least`` tokens the smallest hash of its parts of half that length: equal runs have equal marks."""
+    k = (least + 1) // 2
+    return least_of(rolling(x, k), least - k + 1)
+
+
+def lists(column: pa.Array) -> Iterator[np.ndarray]:
+    flat, off = np.asarray(column.flatten()).view(np.uint64), np.asarray(column.offsets) - column.offsets[0].as_py()
+    return (flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True))
+
+
+def hashed(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, "[^\\w]+"), lambda t: t != ""), lambda t: F.xxhash64(t))
+
+
+def runs_of(files: DataFrame, least: int) -> DataFrame:
+    """(file, pos, h, next): the runs of ``least`` tokens whose mark occurs in two files or more, and the run after each.
+
+    Equal runs have equal marks, so no run that two files share is left out; there is
+    about one mark for a dozen runs, so that few rows are dealt to find these runs.
+    """
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(marks(x, least)) if len(x) >= least else np.zeros(0, np.uint64) for x in lists(b.column(1))]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["file", "mark"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (x, shared) in enumerate(zip(lists(b.column(1)), lists(b.column(2)), strict=True)):
+                pos = np.flatnonzero(np.isin(marks(x, least), shared))
+                h = rolling(x, least)
+                after = np.minimum(pos + 1, len(h) - 1)
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[k], len(pos)), pa.array(pos.astype(np.int32)), pa.array(h[pos].view(np.int64)), pa.array(h[after].view(np.int64), mask=after == pos)], ["file", "pos", "h", "next"])
+
+    files = files.select("file", "text").where("file is not null and text is not null")
+    found = files.select("file", hashed(F.col("text")).alias("x")).mapInArrow(marked, "file string, mark long").repartition("mark")
+    name = F.xxhash64("file")
+    shared = found.groupBy("mark").agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b").select("mark")
+    kept = found.join(shared, "mark").groupBy("file").agg(F.collect_list("mark").alias("shared"))
+    return files.join(kept, "file").select("file", hashed(F.col("text")).alias("x"), "shared").mapInArrow(run, "file string, pos int, h long, next long").repartition("h")
+
+
+def blocks(files: DataFrame, least: int = 50) -> DataFrame:
+    """(block, file, start, grams): the places of each maximal block of runs that occur more than once.
+
+    Every run of ``least`` tokens is hashed. A run and the run after it are in one
+    block where all occurrences of the first go on with the second and all of the
+    second follow the first; so a licence header is one block with a row for each
+    file and position, however many there are. A block of ``grams`` runs has
+    grams + least - 1 tokens. Two files share a run exactly where they share a block.
+    """
+    grams = runs_of(files, least)
+    follows = (F.count("next") == F.count(F.lit(1))) & (F.min("next") == F.max("next"))
+    stats = grams.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.coalesce(follows, F.lit(False)).alias("follows")).where("n > 1")
+    w = Window.partitionBy("file").orderBy("pos")
+    # equal numbers of occurrences and one run after the first: every occurrence of the second follows the first
+    joined = (F.lag("pos").over(w) == F.col("pos") - 1) & F.lag("follows").over(w) & (F.lag("n").over(w) == F.col("n"))
+    starts = grams.join(stats, "h").select("file", "pos", "h", "n", "follows").withColumn("cut", F.when(joined, 0).otherwise(1))
+    part = starts.withColumn("part", F.sum("cut").over(w))
+    return part.groupBy("file", "part").agg(F.min(F.when(F.col("cut") == 1, F.col("h"))).alias("block"), F.min("pos").alias("start"), F.count(F.lit(1)).alias("grams")).select("block", "file", "start", "grams")
 
 
 def clones(files: DataFrame, least: int = 50) -> DataFrame:
     """(file_a, file_b, start_a, start_b, tokens): maximal runs of at least ``least`` equal tokens in two files.
 
-    Every run of ``least`` tokens is hashed; runs with equal hashes meet, and those
-    on one diagonal that follow each other are one clone. Runs that very many files
-    share meet the first of them only, so that a licence header does not become all
-    its pairs.
+    The places of each block meet, and blocks on one diagonal that follow each other
+    are one clone. Every pair of files is found, however many files share a block.
     """
-    tokens = F.filter(F.split("text", "[^\\w]+"), lambda t: t != "")
-    t = files.select("file", tokens.alias("t")).where(F.size("t") >= least)
-    grams = t.select("file", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - least + 1), lambda k: F.xxhash64(F.slice("t", k, least)))).alias("pos", "h"))
-    stats = grams.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "pos")).alias("first")).where("n > 1")
-    both = grams.join(stats, "h")
-    few = both.where(F.col("n") <= COMMON).select("h", "file", "pos")
-    a, b = few.select("h", F.col("file").alias("file_a"), F.col("pos").alias("pa")), few.select("h", F.col("file").alias("file_b"), F.col("pos").alias("pb"))
-    near = a.join(b, "h").where("file_a < file_b").select("file_a", "file_b", "pa", "pb")
-    many = both.where(F.col("n") > COMMON).select(F.col("first.file").alias("file_a"), F.col("file").alias("file_b"), F.col("first.pos").alias("pa"), F.col("pos").alias("pb")).where("file_a < file_b")
-    pairs = near.unionByName(many).distinct().withColumn("diagonal", F.col("pa") - F.col("pb"))
-    w = Window.partitionBy("file_a", "file_b", "diagonal").orderBy("pa")
-    runs = pairs.withColumn("island", F.col("pa") - F.row_number().over(w))
-    return runs.groupBy("file_a", "file_b", "diagonal", "island").agg(F.min("pa").cast("long").alias("start_a"), F.min("pb").cast("long").alias("start_b"), (F.count(F.lit(1)) + least - 1).alias("tokens")).drop("diagonal", "island")
+    b = blocks(files, least)
+    side = lambda x: b.select("block", "grams", F.col("file").alias(f"file_{x}"), F.col("start").alias(f"start_{x}"))
+    pairs = side("a").join(side("b"), ["block", "grams"]).where("file_a < file_b").select("file_a", "file_b", "start_a", "grams", (F.col("start_a") - F.col("start_b")).alias("diagonal"))
+    w = Window.partitionBy("file_a", "file_b", "diagonal").orderBy("start_a")
+    fresh = F.when(F.lag(F.col("start_a") + F.col("grams")).over(w) == F.col("start_a"), 0).otherwise(1)
+    runs = pairs.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w))
+    found = runs.groupBy("file_a", "file_b", "diagonal", "island").agg(F.min("start_a").cast("long").alias("start_a"), (F.sum("grams") + least - 1).alias("tokens"))
+    return found.select("file_a", "file_b", "start_a", (F.col("start_a") - F.col("diagonal")).alias("start_b"), "tokens")

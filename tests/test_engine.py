@@ -131,6 +131,28 @@ def test_planted_clone(spark):
     assert clones.clones(x, 500).count() == 0
 
 
+def test_run_common_to_many_files_is_paired_exactly(spark):
+    header, more = " ".join(f"lic{k}" for k in range(70)), " ".join(f"own{k}" for k in range(20))
+    rows = [(f"f{k:02}", f"start{k} {header} {more if k in (7, 31) else f'end{k}'}") for k in range(60)] + [("g", f"{header} {header}")]
+    x = spark.createDataFrame(rows, "file string, text string")
+    got = sorted(tuple(r) for r in clones.clones(x, 50).collect())
+    among = [(f"f{a:02}", f"f{b:02}", 1, 1, 90 if (a, b) == (7, 31) else 70) for a in range(60) for b in range(a + 1, 60)]
+    assert got == sorted(among + [(f"f{a:02}", "g", 1, at, 70) for a in range(60) for at in (0, 70)])
+    assert clones.blocks(x, 50).count() == 60 + 2 + 2  # the header's places, and its end with the tail in two files
+
+
+def test_clones_equal_brute_force(spark):
+    r = random.Random(1)
+    t = {f"f{k}": [r.choice("ab") for _ in range(r.randrange(40))] for k in range(12)} | {"y": ["a", "b"] * 15, "z": ["a", "b"] * 9}
+    want = set()
+    for a, b in ((a, b) for a in t for b in t if a < b):
+        for i, j in ((i, j) for i in range(len(t[a])) for j in range(len(t[b])) if not (i and j and t[a][i - 1] == t[b][j - 1])):
+            n = next((n for n in range(99) if i + n >= len(t[a]) or j + n >= len(t[b]) or t[a][i + n] != t[b][j + n]), 0)
+            want |= {(a, b, i, j, n)} if n >= 5 else set()
+    got = [tuple(x) for x in clones.clones(spark.createDataFrame([(f, " ".join(x)) for f, x in t.items()], "file string, text string"), 5).collect()]
+    assert sorted(got) == sorted(want)
+
+
 SOURCE = '''
 import os
 from . import near
