@@ -138,7 +138,16 @@ def test_run_common_to_many_files_is_paired_exactly(spark):
     got = sorted(tuple(r) for r in clones.clones(x, 50).collect())
     among = [(f"f{a:02}", f"f{b:02}", 1, 1, 90 if (a, b) == (7, 31) else 70) for a in range(60) for b in range(a + 1, 60)]
     assert got == sorted(among + [(f"f{a:02}", "g", 1, at, 70) for a in range(60) for at in (0, 70)])
-    assert clones.blocks(x, 50).count() == 60 + 2 + 2  # the header's places, and its end with the tail in two files
+    assert clones.blocks(x, 50).count() == 62 + 2  # the places of the header, and its end with the tail of two files
+
+
+def test_clone_pairs_finds_a_passage_in_a_document(spark, tmp_path):
+    words = [f"tok{k}" for k in range(60)]
+    copy = "\n".join(" ".join(words[k : k + 10]) for k in range(0, 60, 10))
+    spark.createDataFrame([(3, " ".join(words)), (4, "short")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, f"one two\n{copy}\nend"), (8, f"{copy} other"), (9, "nothing here")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "u", " ".join(words))], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(tuple(r) for r in registry.QUERIES["clone_pairs"](spark, str(tmp_path)).collect()) == [("b3", "d7", 0, 2, 60), ("b3", "d8", 0, 0, 60), ("d7", "d8", 2, 0, 60)]
 
 
 def test_clones_equal_brute_force(spark):
