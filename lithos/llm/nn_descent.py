@@ -16,8 +16,8 @@ Nearness is the inner product; vectors are compared as they are. Defined
 results: vectors that are null, zero or hold a null or non-finite component take
 no part; a vector of another length than most has products over the coordinates
 both have; rows with one id are candidates of their own but never neighbours of
-that id; with fewer candidates than k all found are returned; an empty table
-gives an empty table. Recall is measured against brute force in the tests.
+that id, and one query (its smallest vector); with fewer candidates than k all
+found are returned; an empty table gives an empty table. Recall is measured against brute force in the tests.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from lithos.llm.exact_topk import usable
 DEGREE, REVERSE, ROUNDS, TREES, LEAF = 40, 32, 3, 8, 4096
 #: Search: nodes kept, nodes opened in a step, steps; reverse neighbours on a node's list at most.
 BEAM, OPENED, STEPS, LISTED = 128, 32, 4, 64
+#: Parts in which distinct vectors are numbered.
+PARTS = 1024
 
 
 def vectors_of(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -181,7 +183,10 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     """
     rows = staged(vectors_of(df, id_col, vec_col), "vectors")
     width, = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    nodes = staged(rows.groupBy("v").agg(F.min("id").alias("node")).groupBy("node").agg(F.min("v").alias("v")), "nodes")
+    # distinct vectors are numbered in parts, as one id may hold several of them
+    own = rows.groupBy("v").agg(F.min("id").alias("id")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("id", "v"))
+    nodes = staged(own.select((number.cast("long") * PARTS + F.col("part")).alias("node"), "v"), "nodes")
     n = nodes.count()
     edges = graph(nodes, width, n)
     # the smallest k + 1 ids of each node, kept in two steps so that a node of very many rows is no burden
@@ -190,7 +195,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     few = lambda d, *by: d.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     ids = staged(few(few(part.select("node", "part", "id"), "node", "part").drop("part"), "node").groupBy("node").agg(F.collect_list("id").alias("ids")), "ids")
     wanted = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    ask = staged(member.join(wanted, "id").groupBy("id").agg(F.min("node").alias("node")), "asked")
+    ask = staged(member.join(wanted, "id").groupBy("id").agg(F.min_by("node", "v").alias("node")), "asked")
     asked = ask.select("node").distinct().join(nodes, "node").select(F.col("node").alias("q"), "v")
     found = search(nodes, edges, asked, width, k)
     per_row = ask.withColumnRenamed("node", "q").withColumnRenamed("id", "query_id").join(found, "q").join(ids, "node").select("query_id", F.explode("ids").alias("vec_id"), F.col("s").alias("score")).where("vec_id <> query_id")

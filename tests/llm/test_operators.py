@@ -244,6 +244,19 @@ def test_nn_descent_recall(spark):
     assert nn_descent.nearest(df.where("false"), df.where("false"), 20).count() == 0
 
 
+def test_neighbours_with_two_vectors_of_one_id(spark):
+    v = np.random.default_rng(3).normal(size=(60, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(k, v[k]) for k in range(1, 50)] + [(0, v[50]), (0, v[51])] + [(k, v[50]) for k in range(100, 105)] + [(k, v[51]) for k in range(200, 205)]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in rows], "vec_id long, embedding array<double>")
+    got: dict[int, list] = {}
+    for x in nn_descent.nearest(df, df.where("vec_id in (0, 7, 100, 200)"), 12).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, round(x.score, 9)))
+    asked = {0: min(v[50].tolist(), v[51].tolist()), 7: v[7], 100: v[50], 200: v[51]}
+    want = {q: sorted(((k, round(float(x @ np.asarray(a)), 9)) for k, x in rows if k != q), key=lambda p: (-p[1], p[0]))[:12] for q, a in asked.items()}
+    assert got == want
+
+
 def test_language_and_quality(spark, none):
     lang = {"aa": "kai mou tha den einai pros", "bb": "zwisch ung heit schön über der", "cc": "ción ñada por los que esta"}
     rows, labels = [], []
