@@ -136,3 +136,32 @@ def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select(F.lit(0).alias("part"), F.concat(F.lit("  "), clean("module_id"), F.lit('["'), F.regexp_replace("module_id", '"', "'"), F.lit('"]')).alias("line"))
     e = edges.select(F.lit(1).alias("part"), F.concat(F.lit("  "), clean("from_id"), F.lit(" -->|"), F.col("kind"), F.lit("| "), clean("to_id")).alias("line"))
     return n.unionByName(e)
+
+
+LAYERS = {
+    "controller": "#ef4444,stroke:#b91c1c,color:#fff", "service": "#3b82f6,stroke:#1d4ed8,color:#fff", "module": "#10b981,stroke:#047857,color:#fff", "gateway": "#8b5cf6,stroke:#6d28d9,color:#fff", "guard": "#f59e0b,stroke:#b45309,color:#000",
+    "pipe": "#06b6d4,stroke:#0e7490,color:#fff", "interceptor": "#ec4899,stroke:#be185d,color:#fff", "filter": "#64748b,stroke:#334155,color:#fff", "provider": "#94a3b8,stroke:#475569,color:#000", "untagged": "#e2e8f0,stroke:#94a3b8,color:#0f172a",
+}
+
+
+def layer_diagram(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """GRF-07: (part, module_pos, pos, line), in that order: a subgraph for each module with tagged classes, and edges between their first ones.
+
+    ``classes`` has (module_pos, module_id, module_name, module_tags, pos, class_id, class_name, tags) and ``edges`` has (pos, from_id, to_id, kind).
+    """
+    clean, label = lambda c: F.regexp_replace(c, "[^a-zA-Z0-9_]", "_"), lambda c: F.replace(c, F.lit('"'), F.lit('\\"'))
+    spark = classes.sparkSession
+    head = spark.createDataFrame([(0, 0, k, x) for k, x in enumerate(["graph TD", *[f"  classDef {n} fill:{v}" for n, v in LAYERS.items()]])], "part int, module_pos long, pos long, line string")
+    c = classes.where(F.size("tags") > 0).withColumn("node", clean(F.concat_ws("_", "module_id", "class_id")))
+    mods = c.groupBy("module_pos", "module_id", "module_name", "module_tags").agg(F.min_by("node", "pos").alias("anchor"))
+    tags = F.when(F.size("module_tags") > 0, F.concat(F.lit("\\n["), F.array_join("module_tags", ","), F.lit("]"))).otherwise("")
+    own = F.array_compact(F.transform("tags", lambda t: F.when(t.startswith("layer:"), F.substring(t, 7, 999))))
+    layer = F.coalesce(F.get(own, 0), F.lit("untagged"))
+    row = lambda df, part, pos, line: df.select(F.lit(part).alias("part"), F.col("module_pos").cast("long").alias("module_pos"), pos.cast("long").alias("pos"), line.alias("line"))
+    opened = row(mods, 1, F.lit(-1), F.concat(F.lit("  subgraph "), clean("module_id"), F.lit('["'), label(F.concat("module_name", tags)), F.lit('"]')))
+    inside = row(c, 1, F.col("pos"), F.concat(F.lit("    "), "node", F.lit('["'), label(F.col("class_name")), F.lit('"]:::'), layer))
+    closed = row(mods, 1, F.lit((1 << 63) - 1), F.lit("  end"))
+    a, b = mods.select(F.col("module_id").alias("from_id"), F.col("anchor").alias("a")), mods.select(F.col("module_id").alias("to_id"), F.col("anchor").alias("b"))
+    met = edges.join(a, "from_id").join(b, "to_id").where("a <> b").withColumn("module_pos", F.lit(0))
+    between = row(met, 2, F.col("pos"), F.concat(F.lit("  "), "a", F.lit(" -->|"), "kind", F.lit("| "), "b"))
+    return head.unionByName(opened).unionByName(inside).unionByName(closed).unionByName(between)

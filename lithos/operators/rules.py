@@ -1,4 +1,4 @@
-"""The rule engine: a rule is a predicate and a severity over one grain (RUL-01..08, 15..18, 20..22, 29)."""
+"""The rule engine: a rule is a predicate and a severity over one grain (RUL-01..22, 24..29, 32)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithos.config import Thresholds
+from lithos.functions.scalars import clone_severity
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ def fire_all(grains: dict[str, DataFrame], chosen: list[Rule]) -> DataFrame:
 
 
 def text_line_rule(files: DataFrame, pattern: str, least: int, rule_id: str, low: str, high: str) -> DataFrame:
-    """RUL-13/14: files with enough lines that match a pattern."""
+    """RUL-14: files with enough lines that match a pattern."""
     hits = F.size(F.filter(F.split("text", "\\r?\\n"), lambda line: line.rlike(pattern)))
     return files.select("file_id", hits.alias("hits")).where(F.col("hits") >= least).select("file_id", "hits", F.lit(rule_id).alias("rule_id"), F.when(F.col("hits") >= 3 * least, high).otherwise(low).alias("severity"))
 
@@ -72,3 +73,60 @@ def missing_names(roots: DataFrame, required: DataFrame) -> DataFrame:
     """RUL-24..27, SET-06: required (repo, rule_id, name) groups of which no name is among the root's names."""
     present = required.join(roots, ["repo", "name"], "left_semi").select("repo", "rule_id").distinct()
     return required.select("repo", "rule_id").distinct().join(present, ["repo", "rule_id"], "left_anti")
+
+
+def python_findings(units: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """RUL-09..12 over ``python_source.units``: one finding for each empty catch, each large branch, and each unit of the others."""
+    one = lambda name, severity: F.struct(F.lit(name).alias("rule_id"), severity.alias("severity"))
+    step = lambda n, at, hi, lo: F.when(n >= at, hi).otherwise(lo)
+    magic, operators = F.col("magic_numbers"), F.col("boolean_operators")
+    hits = F.concat(
+        F.array_repeat(one("empty-catch", F.lit("major")), F.col("empty_catches")),
+        F.array_repeat(one("magic-numbers", step(magic, 3 * t.magic_number_min, "minor", "info")), F.when(magic >= t.magic_number_min, 1).otherwise(0)),
+        F.array_repeat(one("long-boolean-expression", step(operators, 2 * t.long_boolean_operators, "major", "minor")), F.when(operators >= t.long_boolean_operators, 1).otherwise(0)),
+        F.transform(F.filter("branches", lambda n: n >= t.large_match_cases), lambda n: one("large-match", step(n, 2 * t.large_match_cases, "major", "minor"))),
+    )
+    return units.where("error IS NULL").select("file", "class_name", "name", F.explode(hits).alias("h")).select("file", "class_name", "name", "h.rule_id", "h.severity")
+
+
+CODE_LIKE = "^\\s*(def|class|import|from|return|if|elif|else|for|while|with|try|except|finally|raise|yield|async|await)\\b|^\\s*\\w+\\s*=\\s*[^=]|^\\s*\\w+\\(.*\\)\\s*$|^\\s*(self|cls)\\.\\w+"
+
+
+def commented_code(files: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """RUL-13: files (file_id, text) with enough comment lines that look like code."""
+    bodies = F.transform(F.filter(F.split("text", "\\r?\\n"), lambda s: s.rlike("^\\s*#")), lambda s: F.regexp_replace(F.regexp_replace(s, "^\\s+|\\s+$", ""), "^#+\\s?", ""))
+    hits = F.size(F.filter(bodies, lambda s: s.rlike(CODE_LIKE)))
+    return files.select("file_id", hits.alias("hits")).where(F.col("hits") >= t.commented_code_lines).select("file_id", "hits", F.lit("commented-out-code").alias("rule_id"), F.when(F.col("hits") >= 3 * t.commented_code_lines, "minor").otherwise("info").alias("severity"))
+
+
+def cyclic_dependencies(components: DataFrame, anchors: DataFrame) -> DataFrame:
+    """RUL-19: a finding for each cycle of ``graph.components`` whose first node has a file in ``anchors`` (graph, node, file)."""
+    first = components.where("cyclic AND node = component").join(anchors.where("file <> ''"), ["graph", "node"])
+    return first.select("graph", F.col("node").alias("module_id"), "file", F.lit("cyclic-dependencies").alias("rule_id"), F.when(F.col("size") >= 4, "critical").otherwise("major").alias("severity"))
+
+
+#: Names of directories that builds make, and of those that are not entered.
+BUILD_DIRS = ("dist", "build", "out", ".next", ".nuxt", "__pycache__", ".pytest_cache", "target", "bin")
+SKIP_DIRS = (".git", "node_modules", ".venv", "venv", ".tox")
+
+
+def build_artifacts(paths: DataFrame) -> DataFrame:
+    """RUL-28: the outermost build directories above the files of (repo, path), outside skipped ones."""
+    dirs = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
+    at = lambda names: F.array_min(F.filter(F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position("dirs", n)), lambda k: k > 0))
+    found = paths.select("repo", dirs.alias("dirs")).select("repo", "dirs", at(BUILD_DIRS).alias("b"), at(SKIP_DIRS).alias("s")).where("b IS NOT NULL AND (s IS NULL OR b < s)")
+    return found.select("repo", F.array_join(F.slice("dirs", F.lit(1), F.col("b").cast("int")), "/").alias("file"), F.lit("build-artifacts-committed").alias("rule_id"), F.lit("minor").alias("severity")).distinct()
+
+
+def duplicate_code(found: DataFrame, files: DataFrame) -> DataFrame:
+    """RUL-32: a finding for each side of a clone (``clones.clones``) whose file is in (file, text); its lines are the larger side's."""
+    per_line = F.transform(F.split("text", "\n"), lambda s: F.size(F.filter(F.split(s, "[^\\w]+"), lambda x: x != "")))
+    at = files.select("file", F.flatten(F.transform(per_line, lambda n, k: F.array_repeat(k + 1, n))).alias("at"))
+    start = lambda s: F.get(F.col(f"at_{s}"), F.col(f"start_{s}").cast("int"))
+    end = lambda s: F.get(F.col(f"at_{s}"), (F.col(f"start_{s}") + F.col("tokens") - 1).cast("int"))
+    both = found
+    for side in "ab":
+        both = both.join(at.select(F.col("file").alias(f"file_{side}"), F.col("at").alias(f"at_{side}")), f"file_{side}", "left")
+    sides = F.array(*[F.struct(F.col(f"file_{s}").alias("file"), start(s).alias("start"), end(s).alias("end")) for s in "ab"])
+    rows = both.select(sides.alias("sides"), F.greatest(end("a") - start("a"), end("b") - start("b")).alias("more")).select(F.explode("sides").alias("x"), (F.col("more") + 1).alias("lines"))
+    return rows.where("x.start IS NOT NULL").select("x.file", "x.start", "x.end", "lines", F.lit("duplicate_code").alias("rule_id"), clone_severity(F.col("lines")).alias("severity"))

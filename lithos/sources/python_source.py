@@ -1,4 +1,4 @@
-"""Python sources to program facts, with the stdlib parser (SRC-08, SCL-04, RUL-09..12)."""
+"""Python sources to program facts, with the stdlib parser (SRC-08, SCL-04; the facts of RUL-09..12)."""
 
 from __future__ import annotations
 
@@ -34,21 +34,33 @@ def complexity(body: list[ast.stmt]) -> tuple[int, int, int]:
     return cyc, cog, deepest
 
 
+def branches(node: ast.AST) -> int:
+    """Ways of a match, or of an if with its elifs; an elif starts in its if's column, an if under else further right."""
+    if isinstance(node, ast.Match):
+        return len(node.cases)
+    ways = 1
+    while len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If) and node.orelse[0].col_offset == node.col_offset:
+        ways, node = ways + 1, node.orelse[0]
+    return ways
+
+
 def unit_facts(fn: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) -> dict:
     cyc, cog, depth = complexity(fn.body)
     args = [*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs]
     defaults = {id(x) for d in (*fn.args.defaults, *fn.args.kw_defaults) if d is not None for x in ast.walk(d)}
     walk = [n for s in fn.body for n in ast.walk(s)]
+    elifs = {id(n.orelse[0]) for n in walk if isinstance(n, ast.If) and branches(n) > 1}
     conditions = [n.test for n in walk if isinstance(n, (ast.If, ast.While, ast.Assert))] + [n.value for n in walk if isinstance(n, ast.Return) and n.value]
     return {
         "kind": "method" if owner else "function", "class_name": owner, "name": fn.name, "start": fn.lineno, "end": fn.end_lineno, "complexity": cyc, "cognitive": cog, "max_depth": depth,
         "params": len(args), "annotated": sum(a.annotation is not None for a in args), "empty_catches": sum(isinstance(n, ast.ExceptHandler) and all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and s.value.value is ... for s in n.body) for n in walk),
         "magic_numbers": sum(isinstance(n, ast.Constant) and type(n.value) in (int, float) and n.value not in PLAIN_NUMBERS and id(n) not in defaults for n in walk),
         "boolean_operators": max((sum(len(b.values) - 1 for b in ast.walk(c) if isinstance(b, ast.BoolOp)) for c in conditions), default=0), "largest_match": max((len(n.cases) for n in walk if isinstance(n, ast.Match)), default=0),
+        "branches": [branches(n) for n in walk if isinstance(n, (ast.Match, ast.If)) and id(n) not in elifs],
     }
 
 
-UNIT = "file string, kind string, class_name string, name string, start int, end int, complexity int, cognitive int, max_depth int, params int, annotated int, empty_catches int, magic_numbers int, boolean_operators int, largest_match int, error string"
+UNIT = "file string, kind string, class_name string, name string, start int, end int, complexity int, cognitive int, max_depth int, params int, annotated int, empty_catches int, magic_numbers int, boolean_operators int, largest_match int, branches array<int>, error string"
 IMPORT = "file string, module string, level int"
 
 

@@ -238,3 +238,40 @@ def test_alias_edge_cases(spark):
     got = [r[0] for r in x.select(naming.alias_middle(F.col("s"), "a*b")).collect()]
     assert got == ["", "X", None, None]
     assert [r[0] for r in x.select(naming.alias_middle(F.col("s"), "ab")).collect()] == ["", None, None, None]
+
+
+def test_python_rules(spark):
+    chain = "\n".join([f"    {'if' if k == 0 else 'elif'} x == 0:\n        pass" for k in range(8)])
+    cases = "\n".join(f"        case '{k}':\n            pass" for k in range(16))
+    text = f"def f(x):\n{chain}\n    match x:\n{cases}\n    return x and x and x and x and x\n\ndef g(x):\n    for _ in x:\n        try:\n            x()\n        except A:\n            pass\n        except B:\n            ...\n    return [3, 4]\n\ndef h(x):\n    if x:\n        return 3\n    else:\n        if x:\n            return 1\n"
+    u = python_source.units(spark.createDataFrame([("a.py", text), ("bad.py", "def (")], "file string, text string"))
+    got = sorted((r.name, r.rule_id, r.severity) for r in rules.python_findings(u).collect())
+    assert got == [("f", "large-match", "major"), ("f", "large-match", "minor"), ("f", "long-boolean-expression", "minor"), ("g", "empty-catch", "major"), ("g", "empty-catch", "major"), ("g", "magic-numbers", "info")]
+    assert sorted(u.where("name = 'h'").first().branches) == [1, 1]
+
+
+def test_commented_code(spark):
+    x = [("a", "# x = 1\n  ## return x\nx = 2\n#f(1)\n# self.y\n# a word\n#"), ("b", "# x == 1\n# just text\n# y = 1\n# z(2)"), ("c", "# if a\n" * 9)]
+    got = {r.file_id: (r.hits, r.severity) for r in rules.commented_code(spark.createDataFrame(x, "file_id string, text string")).collect()}
+    assert got == {"a": (4, "info"), "c": (9, "minor")}
+
+
+def test_cycles_artifacts_and_duplicates(spark):
+    e = spark.createDataFrame([("g", a, b) for a, b in ("ab", "bc", "cd", "da", "xx", "yz", "zy", "pq")], "graph string, from_id string, to_id string")
+    anchors = spark.createDataFrame([("g", n, f"{n}.py") for n in "abcdxpq"], "graph string, node string, file string")
+    assert sorted((r.module_id, r.file, r.severity) for r in rules.cyclic_dependencies(graph.components(e), anchors).collect()) == [("a", "a.py", "critical"), ("x", "x.py", "major")]
+    paths = ["a/dist/x.js", "a/dist/build/y.js", "node_modules/p/dist/z.js", "bin", "src/bin/t", "build/node_modules/q"]
+    assert sorted(r.file for r in rules.build_artifacts(spark.createDataFrame([("r", p) for p in paths], "repo string, path string")).collect()) == ["a/dist", "build", "src/bin"]
+    run = [f"t{k}" for k in range(60)]
+    x = spark.createDataFrame([("a", "one\n" + "\n".join(run)), ("b", " ".join(run) + "\nend")], "file string, text string")
+    assert sorted(map(tuple, rules.duplicate_code(clones.clones(x), x).collect())) == [("a", 2, 61, 60, "duplicate_code", "critical"), ("b", 1, 1, 60, "duplicate_code", "critical")]
+    assert [r.file for r in rules.duplicate_code(clones.clones(x), x.where("file = 'a'")).collect()] == ["a"]
+
+
+def test_layer_diagram(spark):
+    c = [(0, "m-1", "One", ["t"], 0, "c.1", 'A"x', ["layer:service"]), (0, "m-1", "One", ["t"], 1, "c2", "B", ["other"]), (1, "m2", "Two", [], 0, "c3", "C", ["layer:guard"]), (2, "m3", "Three", [], 0, "c4", "D", [])]
+    d = spark.createDataFrame(c, "module_pos long, module_id string, module_name string, module_tags array<string>, pos long, class_id string, class_name string, tags array<string>")
+    e = spark.createDataFrame([(0, "m-1", "m2", "import"), (1, "m2", "m3", "import"), (2, "m2", "m2", "import")], "pos long, from_id string, to_id string, kind string")
+    got = [r.line for r in graph.layer_diagram(d, e).orderBy("part", "module_pos", "pos").collect()]
+    assert got[0] == "graph TD" and got[10] == "  classDef untagged fill:#e2e8f0,stroke:#94a3b8,color:#0f172a"
+    assert got[11:] == ['  subgraph m_1["One\\n[t]"]', '    m_1_c_1["A\\"x"]:::service', '    m_1_c2["B"]:::untagged', "  end", '  subgraph m2["Two"]', '    m2_c3["C"]:::guard', "  end", "  m_1_c_1 -->|import| m2_c3"]
