@@ -205,7 +205,29 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
+class Tree:
+    """The same root as ``merkle``, of leaves that come one by one; only the roots of whole subtrees are held."""
+
+    def __init__(self):
+        self.roots: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level = 0
+        while self.roots and self.roots[-1][0] == level:
+            level, leaf = level + 1, address(b"\x01" + self.roots.pop()[1] + leaf)
+        self.roots.append((level, leaf))
+
+    def root(self) -> bytes:
+        if not self.roots:
+            return merkle([])
+        *left, (_, root) = self.roots
+        for _, r in reversed(left):
+            root = address(b"\x01" + r + root)
+        return root
+
+
 CHUNKS = "h binary, n int, payload binary"
+MANIFEST = "shard int, documents long, ids long, root binary"
 RECIPES = "doc_id long, n_tokens long, hashes binary, root binary"
 BOTH = f"{RECIPES}, {CHUNKS}"
 
@@ -279,20 +301,36 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes.repartitionByRange(shards, "doc_id", F.xxhash64("root")).sortWithinPartitions("doc_id", "root").select(F.spark_partition_id().alias("shard"), "*").write.parquet(f"{path}/recipes")
 
-    def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    manifest_of(read_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(both)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """Per shard the counts of documents and ids and the Merkle root over its documents in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[int, list] = {}
         for b in batches:
             for shard, doc, n, root in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                s = state.setdefault(shard, [0, 0, hashlib.blake2b(digest_size=DIGEST_BYTES)])
+                s = state.setdefault(shard, [0, 0, Tree()])
                 s[0] += 1
                 s[1] += n
-                s[2].update(repr(doc).encode() + root)
-        yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array([s[0] for s in state.values()], pa.int64()), pa.array([s[1] for s in state.values()], pa.int64()), pa.array([s[2].digest() for s in state.values()], pa.binary())], ["shard", "documents", "ids", "root"])
+                s[2].add(address(f"{doc} {n} ".encode() + root))
+        yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array([s[0] for s in state.values()], pa.int64()), pa.array([s[1] for s in state.values()], pa.int64()), pa.array([s[2].root() for s in state.values()], pa.binary())], ["shard", "documents", "ids", "root"])
 
-    ordered = read_recipes(spark, path).repartition("shard").sortWithinPartitions("shard", "doc_id", "root").select("shard", "doc_id", "n_tokens", "root")
-    ordered.mapInArrow(manifest, "shard int, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(both)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    ordered = recipes.repartition("shard").sortWithinPartitions("shard", "doc_id", "root").select("shard", "doc_id", "n_tokens", "root")
+    return ordered.mapInArrow(run, MANIFEST)
+
+
+def checked_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest, after its counts and roots are compared with those of the recipes."""
+    kept = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    sides = manifest_of(read_recipes(spark, path)).withColumn("side", F.lit(1)).unionByName(kept.withColumn("side", F.lit(-1)))
+    wrong = sides.groupBy("shard", "documents", "ids", "root").agg(F.sum("side").alias("side")).where("side <> 0").select("shard").distinct().limit(5).collect()
+    if wrong:
+        raise ValueError(f"recipes and manifest differ in shards {sorted(r.shard for r in wrong)}: documents, ids or the Merkle root")
+    return kept
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -368,7 +406,7 @@ DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def read_digests(spark: SparkSession, path: str, wide: bool) -> DataFrame:
     """Per document, from the files: start, count and crc32 of all its ids."""
-    recipes = starts(read_recipes(spark, path), spark.read.parquet(f"{path}/manifest"))
+    recipes = starts(read_recipes(spark, path), checked_manifest(spark, path))
     sums = chunk_sums(read_chunks(spark, path), wide)
     found = pieces_of(recipes).join(sums, "h", "left")
     rows = found.groupBy("doc_id", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("at", "h", "crc", "size"))).alias("parts"))
@@ -392,7 +430,7 @@ def read_digests(spark: SparkSession, path: str, wide: bool) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, wide: bool) -> DataFrame:
     """Per document, from the files and checked: doc_id, start and its ids in order."""
-    recipes = starts(read_recipes(spark, path), spark.read.parquet(f"{path}/manifest"))
+    recipes = starts(read_recipes(spark, path), checked_manifest(spark, path))
     rows = pieces_of(recipes).join(read_chunks(spark, path), "h", "left").groupBy("doc_id", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("at", "h", "payload"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

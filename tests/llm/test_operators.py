@@ -171,6 +171,28 @@ def test_missing_chunk_is_noticed(spark, docs, tmp_path):
         token_store.read_digests(spark, f"{tmp_path}/s", False).collect()
 
 
+def test_manifest_tree_and_lost_recipe(spark, docs, tmp_path):
+    for n in range(20):
+        leaves, tree = [token_store.address(bytes([k])) for k in range(n)], token_store.Tree()
+        for x in leaves:
+            tree.add(x)
+        assert tree.root() == token_store.merkle(leaves)
+    path = f"{tmp_path}/s"
+    token_store.write_store(docs, path, token_store.default_tokenizer())
+    rows = token_store.read_recipes(spark, path).orderBy("doc_id").collect()
+    shard = rows[0].shard
+    own = sorted((r for r in rows if r.shard == shard), key=lambda r: (r.doc_id, r.root))
+    kept = {r.shard: r for r in spark.read.parquet(f"{path}/manifest").collect()}[shard]
+    assert kept.root == token_store.merkle([token_store.address(f"{r.doc_id} {r.n_tokens} ".encode() + r.root) for r in own])
+    whole = spark.createDataFrame(rows, f"shard int, {token_store.RECIPES}")
+    for lost in ("doc_id <> 0", "false"):
+        whole.where(lost).write.mode("overwrite").parquet(f"{path}/recipes")
+        for read in (token_store.read_digests, token_store.read_documents):
+            with pytest.raises(ValueError, match="manifest"):
+                read(spark, path, False).collect()
+
+
+
 @pytest.mark.parametrize("shards", [1, 7, 40])
 def test_sharding(docs, none, shards):
     rows = sorted((k, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for k, t in enumerate(TEXTS))
