@@ -15,14 +15,15 @@ from lithos.llm.common import small_batches, staged, table
 
 #: Near-duplicates: words of a shingle, per cent of the union that is shared.
 SHINGLE, SIMILAR = 5, 80
-#: A document whose best language is less likely than this is rejected, as is one without letters.
+#: A document whose best language is less likely than this is rejected, as is one without letters. The best of k
+#: languages has 1/k at least, so with three languages or fewer only texts without letters go, and with four few others.
 LEAST_LANGUAGE = 0.3
 #: No source is passed more than about so many times.
 MOST_REPEATS = 1.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language that was learned; fills in a language that is not given."""
+    """Drops documents without letters, and hardly any others (see LEAST_LANGUAGE); fills in a language that is not given."""
     small_batches(spark)
     net = language_id.train(docs)
     found = language_id.label(docs, net, lang_col="_lang", score_col="_score")
