@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,18 @@ def hold(owner: str, free=None) -> None:
     if _held[0] != owner:
         if _held[1] is not None:
             _held[1]()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # gives freed pages back where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     _held[:] = owner, free
 
 
+def give_back() -> None:
+    """In a Python worker: freed memory goes back to the system, as a worker that waits keeps what it has."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -59,6 +65,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of staged tables that this driver has written and not deleted.
+_staged: list[str] = []
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 
@@ -69,17 +79,75 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _staged.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _staged.remove(path)
 
 
 def drop_staged(*frames: DataFrame) -> None:
     """Delete the files of staged tables that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-            if path.startswith(("file:" + shared_dir(spark).removeprefix("file:").replace("///", "/"), shared_dir(spark))) or "/_stages/" in path:
-                hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if (path := vars(df).get("staged_at")) in _staged:
+            _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def only_kept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables staged inside, but those put into the list: for steps whose result is staged as well."""
+    before, kept = len(_staged), []
+    try:
+        yield kept
+    finally:
+        for path in _staged[before:]:
+            if path not in {df.staged_at for df in kept}:
+                _delete(spark, path)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of ended jobs go once the driver's JVM has found that nothing refers to them."""
+    spark._jvm.System.gc()
+
+
+def sent_whole(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (cheap to count) marked for broadcast if it has at most ``most`` rows; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, rows) of runs of whole texts of about ``most`` bytes; a longer text is a run by itself."""
+    texts = texts.cast(pa.large_binary())
+    n = len(texts)
+    if not n:
+        return
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    at = 0
+    while at < n:
+        upto = min(n, max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1))
+        yield at, upto - at
+        at = upto
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by their first ``keys`` columns (whole numbers), cut so that no group is parted, with each group's first row."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = b if held is None else pa.concat_batches([held, b])
+        cols = [np.asarray(rows.column(k)) for k in range(keys)]
+        first = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])))
+        if first[-1]:
+            yield rows.slice(0, int(first[-1])), first[:-1]
+        held = rows.slice(int(first[-1]))
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
 
 
 def null_safe_text(name: str = "text") -> Column:

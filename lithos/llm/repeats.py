@@ -354,7 +354,9 @@ def without_repeats(df: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     joined = df.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")("text", "_spans"))).select(*df.columns)
+    # a filter on the new text stays above it: pushed below, it would cut every text a second time, in a worker of its own
+    left = F.pandas_udf(cut, "string").asNondeterministic()("text", "_spans")
+    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left)).select(*df.columns)
 
 
 def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

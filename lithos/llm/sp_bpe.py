@@ -13,7 +13,8 @@ vocabulary never merge, so a text is cut at both; ids of short parts are kept
 per worker in a table of bounded size.
 
 Defined results: a null or empty text has the end id only and decodes to "".
-Extra columns pass through ``encode`` untouched; repeated rows give equal rows;
+Extra columns pass through ``encode`` and ``decode`` untouched, but for one that has
+the name of the column asked for: it is replaced. Repeated rows give equal rows;
 an empty table gives an empty table; a part of any length is handled in time
 linear in its length.
 """
@@ -36,12 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import hold, table
+from lithos.llm.common import hold, slices, table
 
 SPACE = "▁"
-KEEP_PARTS = 240_000
-KEEP_PAIRS = 300_000
+#: Parts kept in each of two generations, and pairs: a worker's tables stay under some 90 MB.
+KEEP_PARTS = 150_000
+KEEP_PAIRS = 200_000
 LONGEST_KEPT = 48
+#: Bytes of texts whose ids are held at once.
+TOGETHER = 1 << 18
 
 
 class PrefixTable:
@@ -290,14 +294,17 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def digests(df: DataFrame, model_path: str) -> DataFrame:
     """Per row of (doc_id, text): count and digest of its ids, digest of its decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = prefix_table(model_path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
-            rows = [(ids.count(" ") + 1, sha(ids), sha(back)) for ids, back in (t.encode_text(x.as_py()) for x in b.column(1))]
+            rows = [(ids.count(" ") + 1, _sha(ids), _sha(back)) for ids, back in (t.encode_text(x.as_py()) for x in b.column(1))]
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -309,13 +316,18 @@ def encoded(df: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = prefix_table(model_path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                rows = [t.encode_text(x.as_py()) for x in b.column(2)]
-                ids = [np.array(i.split(" "), np.int32) for i, _ in rows]
-                cols = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([sha(i) for i, _ in rows], pa.string()), pa.array([sha(d) for _, d in rows], pa.string())]
+            for at, n in slices(whole.column(2), TOGETHER):
+                b = whole.slice(at, n)
+                flat, sizes, of_ids, of_text = [], [0], [], []
+                for x in b.column(2):
+                    ids, back = t.encode_text(x.as_py())
+                    flat.append(np.array(ids.split(" "), np.int32))
+                    sizes.append(len(flat[-1]))
+                    of_ids.append(_sha(ids))
+                    of_text.append(_sha(back))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(flat)))
+                cols = [lists, pa.array(sizes[1:], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
