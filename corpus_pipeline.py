@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithos.llm import language_id, minhash, mixing, repeats, sp_bpe
-from lithos.llm.common import small_batches, staged, table
+from lithos.llm.common import drop_staged, only_kept, small_batches, staged, table
 
 #: Near-duplicates: words of a shingle, per cent of the union that is shared.
 SHINGLE, SIMILAR = 5, 80
@@ -34,8 +34,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate component; of rows with one id the first by text."""
     kept = minhash.near_duplicates(docs.where("doc_id is not null"), SHINGLE, SIMILAR).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").withColumn("_row", F.row_number().over(once)).where("_row = 1").drop("_row")
+    once = Window.partitionBy("_kept").orderBy(F.xxhash64("text"))  # by the join's key, so that texts are dealt once
+    rows = docs.withColumn("_kept", F.col("doc_id").cast("long")).join(kept, "_kept", "left_semi").withColumn("_row", F.row_number().over(once)).where("_row = 1")
     return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
@@ -75,5 +75,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; the last one's rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with only_kept(spark) as kept:
+            kept.append(staged(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        drop_staged(docs)
+        docs = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)
