@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.common import staged
+from lithos.llm.common import drop_staged, staged
 
 MOST_ROUNDS = 60
 
@@ -34,7 +34,9 @@ def components(links: DataFrame, what: str = "component") -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = staged(small, what)
+        after = staged(small, what)
+        drop_staged(edges)
+        edges = after
         before, state = state, _state(edges)
         if before == state:
             break

@@ -9,15 +9,18 @@ far below the threshold is dropped; the rest is confirmed on the full sets.
 
 Equal sets are one class, and only classes are compared. In every band key the
 smallest class is tested against the others (a star). Linked classes are joined
-into components; where keys still hold several components, the documents that
-share such keys are compared across components in blocks of bounded size. So the links that matter are all
-tested while a group of copies never becomes all its pairs.
+into components; a key that still holds several components is cut into blocks of
+bounded size, and its documents are compared across components block by block, a
+pair at the first band it shares: first by registers alone, then on the full sets
+of those documents whose estimates leave a link possible. So the links that matter
+are all tested while a group of copies never becomes all its pairs.
 
 Defined results: null texts and texts without words have the empty set and link
 with nothing; a text of fewer words than a shingle has its whole sequence as one
-shingle; rows with one id are one document; repeated rows stay; an empty table
-gives an empty table; columns besides id and text are not read; texts of any
-length are cut into words piece by piece and never shortened.
+shingle; rows with one id are one document; a row without an id links with nothing
+and is kept, its component null; repeated rows stay; an empty table gives an empty
+table; columns besides id and text are not read; texts of any length are cut into
+words piece by piece and never shortened.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm.common import hold, mix64, odd_powers, staged, table
+from lithos.llm.common import drop_staged, hold, mix64, odd_powers, staged, table, whole_groups
 from lithos.llm.components import components
 
 BASE = 0x9E3779B97F4A7C15
@@ -244,50 +247,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def links_across(members: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """Confirmed links that join different labels, from members (grp, doc, label, n, regs, s).
+MEMBER = "k long, i int, j int, block int, band int, doc long, label long, n long, regs binary"
 
-    Groups are cut into blocks and compared block by block: pairs that share a
-    band and whose estimate is high enough are confirmed on the full sets, unless
-    links found in the block already join their labels. So a block gives fewer
-    links than it has members.
+
+def possible(rows: dict[str, np.ndarray], packed: np.ndarray, reg: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, others) of a block: across labels, pairs whose first shared band is the key's and whose estimate is high enough."""
+    i, j, band = rows["i"][0], rows["j"][0], rows["band"][0]
+    doc, label, n, block = rows["doc"], rows["label"], rows["n"], rows["block"]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for x in left:
+        ys = right[(label[right] != label[x]) & ((i != j) | (doc[right] > doc[x]))]
+        if len(ys):
+            same = packed[ys] == packed[x]
+            ys = ys[same[:, band] & (same.argmax(1) == band)]
+        if len(ys):
+            ys = ys[estimate(reg[x][None], reg[ys], n[x], n[ys]) >= least_estimate(threshold, n[x], n[ys])]
+        if len(ys):
+            yield x, ys
+
+
+def members_of(t: pa.RecordBatch, first: np.ndarray) -> Iterator[tuple[int, int, dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """(begin, end, columns, registers packed by band, registers) of every block of two rows or more."""
+    cols = {c: np.asarray(t.column(c)) for c in ("i", "j", "block", "band", "doc", "label", "n")}
+    every = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    for a, e in zip(first.tolist(), [*first[1:].tolist(), t.num_rows]):
+        if e - a > 1:
+            yield a, e, {c: v[a:e] for c, v in cols.items()}, every[a:e].view(np.uint64), every[a:e]
+
+
+def links_across(open_keys: DataFrame, sketch_of: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Confirmed links that join different labels, from open keys (k, band, doc, label).
+
+    Registers go to every pair of blocks of a key, sets only to those blocks
+    where a pair is possible. A pair is confirmed unless links found in its block
+    already join its labels, so a block gives fewer links than it has members.
     """
 
-    def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        block = np.asarray(t.column("block"))
-        reg = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        packed = np.ascontiguousarray(reg).view(np.uint64)  # one number a band
-        doc, label, n = (np.asarray(t.column(c)) for c in ("doc", "label", "n"))
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
-        root = {k: k for k in label.tolist()}
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = k = root[root[k]]
-            return k
-
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out_a, out_b = [], []
-        for x in left:
-            ys = right[(label[right] != label[x]) & ((i != j) | (doc[right] > doc[x]))]
-            ys = ys[(packed[ys] == packed[x]).any(1)]
-            if len(ys):
-                ys = ys[estimate(reg[x][None], reg[ys], n[x], n[ys]) >= least_estimate(threshold, n[x], n[ys])]
-            for y in ys.tolist():
-                if (fx := find(int(label[x]))) == (fy := find(int(label[y]))):
-                    continue
-                both = shared(sets[x], sets[y])
-                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                    root[max(fx, fy)] = min(fx, fy)
-                    out_a.append(doc[x])
-                    out_b.append(doc[y])
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in whole_groups(batches, 3):
+            keep = np.zeros(t.num_rows, bool)
+            for a, _, rows, packed, reg in members_of(t, first):
+                for x, ys in possible(rows, packed, reg, threshold):
+                    keep[a + x] = True
+                    keep[a + ys] = True
+            yield t.filter(pa.array(keep))
 
-    count = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("of"))
-    own = members.join(count, "grp").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("of")).cast("int"))
-    spread = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-    return spread.select("grp", "doc", "label", "n", "regs", "s", "block", "i", "j").groupBy("grp", "i", "j").applyInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in whole_groups(batches, 3):
+            out_a, out_b = [], []
+            for a, e, rows, packed, reg in members_of(t, first):
+                doc, label = rows["doc"], rows["label"]
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s").slice(a, e - a)]
+                root = {k: k for k in label.tolist()}
+
+                def find(k: int, root=root) -> int:
+                    while root[k] != k:
+                        root[k] = k = root[root[k]]
+                    return k
+
+                for x, ys in possible(rows, packed, reg, threshold):
+                    for y in ys.tolist():
+                        if (fx := find(int(label[x]))) == (fy := find(int(label[y]))):
+                            continue
+                        both = shared(sets[x], sets[y])
+                        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                            root[max(fx, fy)] = min(fx, fy)
+                            out_a.append(doc[x])
+                            out_b.append(doc[y])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    large = open_keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select("k", F.ceil(F.col("c") / BLOCK).cast("int").alias("of"))
+    own = open_keys.join(large, "k", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("of")).cast("int")).join(sketch_of, "doc")
+    spread = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+    dealt = lambda d: d.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "doc")
+    asked = dealt(spread.select("k", "i", "j", "block", F.col("band").cast("int").alias("band"), "doc", "label", "n", "regs")).mapInArrow(needed, MEMBER)
+    return dealt(asked.join(sets, "doc").select("k", "i", "j", "block", "band", "doc", "label", "n", "regs", "s")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -328,14 +362,12 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     roots = components(links)
     labelled = shared_keys.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("label", F.coalesce("root", "doc"))
     mixed = labelled.groupBy("k").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("k")
-    open_keys = staged(labelled.join(mixed, "k", "left_semi").select("k", "doc", "label"), "open")
-    heads = open_keys.groupBy("k").agg(F.min("doc").alias("b"))
-    groups = components(open_keys.join(heads, "k").select(F.col("doc").alias("a"), "b").distinct())
-    members = open_keys.select("doc", "label").distinct().join(groups.select(F.col("node").alias("doc"), F.col("root").alias("grp")), "doc").join(sketch_of, "doc").join(sets, "doc")
-    more = staged(links_across(members, threshold, percent), "links")
+    open_keys = staged(labelled.join(mixed, "k", "left_semi").select("k", "band", "doc", "label"), "open")
+    more = staged(links_across(open_keys, sketch_of, sets, threshold, percent), "links")
     roots = components(links.unionByName(more))
+    drop_staged(shared_keys, sets, star, links, open_keys, more)
     named = sketch.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    found = F.coalesce("root", "rep", "doc_id")
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
 
 
