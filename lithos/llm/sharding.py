@@ -1,35 +1,38 @@
 """Operator 7 [native]: sharding by sampled splitters.
 
-Records are put in key order over shards of near-equal bytes. Keys are drawn with
-a chance in proportion to their record's size; quantiles of the sample are the
+Records are put in order over shards of near-equal bytes: by key, of equal keys by
+a mix of checksum and size, of equal records by a number that tells them apart. So
+no key and no text is too common to be cut. Places in this order are drawn with a
+chance in proportion to their record's size; quantiles of the sample are the
 splitters of fine ranges. The exact size of each range is then taken, and an
 overfull range is sampled again and subdivided until it is small enough or one
-key. Prefix sums over the ranges (a table of bounded length) and, inside each
+record. Prefix sums over the ranges (a list of bounded length) and, inside each
 range, over its records give every record's exact place in the whole order, and
 so its shard and slot. The splitters shape the work only: the result depends on
-the records alone.
+the records alone. Texts are read once, for the records' sizes and checksums.
 
 Defined results: a null text counts 0 bytes and has the checksum of no bytes; a
-null key sorts first; records with equal keys are ordered by checksum and size,
-so repeated rows differ in their slot alone; an empty table gives an empty
-table; columns besides key and text are not read. A key that fills a range by
-itself is cut further by checksum and size in the same way.
+null key sorts first; repeated rows differ in their slot (and, where a shard ends
+among them, their shard) alone; an empty table gives an empty table; columns
+besides key and text are not read.
 """
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithos.llm.common import table
+from lithos.llm.common import staged, table
 
-#: Bytes a range may hold, as a share of all, before it is subdivided; ranges at most.
+#: Sampled records of a range; ranges at first, at most; a range is overfull beyond so many times its share.
 SAMPLES_A_RANGE = 24
-MOST_RANGES = 4096
+MOST_RANGES = 1 << 14
 OVERFULL = 2.0
-ROUNDS = 3
+#: Times that overfull ranges are subdivided; what is overfull then is only slower.
+ROUNDS = 8
 
 
 def chance(*cols: Column) -> Column:
@@ -37,80 +40,88 @@ def chance(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / float(1 << 53)
 
 
-def range_of(key: Column, splitters: list[int]) -> Column:
-    """How many splitters are <= key, by bisection over a literal array."""
+def literals(values: list) -> Column:
+    """A constant array of whole numbers or of plain strings."""
+    return F.expr("array(" + ", ".join(f"{v}L" if isinstance(v, int) else f"'{v}'" for v in values) + ")")
+
+
+def range_of(place: Column, splitters: list[str]) -> Column:
+    """How many splitters are <= place, by bisection over a constant array."""
     if not splitters:
         return F.lit(0)
-    arr = F.array(*[F.lit(int(s)).cast("long") for s in splitters])
     steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
-    lo_hi = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"))
 
     def step(a: Column, _: Column) -> Column:
         mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        right = (a["lo"] < a["hi"]) & (F.element_at(arr, F.least(mid, F.lit(len(splitters) - 1)) + 1) <= key)
+        right = (a["lo"] < a["hi"]) & (F.get(literals(splitters), mid) <= place)
         return F.struct(F.when(right, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(right | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
 
-    return F.when(key.isNull(), 0).otherwise(F.aggregate(steps, lo_hi, step)["lo"])
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi")), step)["lo"]
+
+
+def records(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(key, size, crc, place): each record with a text that sorts as the records do."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hexed = lambda x: F.lpad(F.hex(x), 16, "0")
+    rows = df.select(F.col(key_col).cast("long").alias("key"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    key = F.when(F.col("key").isNull(), F.lit("0" * 17)).otherwise(F.concat(F.lit("1"), hexed(F.col("key").bitwiseXOR(F.lit(-(1 << 63))))))
+    return rows.withColumn("place", F.concat(key, hexed(F.xxhash64("crc", "size")), hexed(F.xxhash64(F.monotonically_increasing_id()))))
 
 
-def sampled(rows: DataFrame, total: int, wanted: int, salt: int) -> list[int]:
-    """Keys drawn independently, each record with the chance wanted * size / total (about ``wanted`` in all)."""
-    hit = chance("key", "crc", "size", F.lit(salt)) < F.col("size") * (wanted / max(total, 1))
-    return sorted(r[0] for r in rows.where(hit & F.col("key").isNotNull()).select("key").collect())
+def sampled(rows: DataFrame, total: int, wanted: int, salt: int) -> list[str]:
+    """Places drawn independently, each record with the chance wanted * size / total (about ``wanted`` in all)."""
+    hit = chance("place", F.lit(salt)) < F.col("size") * (wanted / max(total, 1))
+    return sorted(r[0] for r in rows.where(hit).select("place").collect())
 
 
-def quantiles(sample: list[int], parts: int) -> list[int]:
+def quantiles(sample: list[str], parts: int) -> list[str]:
     return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
 
 
-def find_splitters(rows: DataFrame, parts: int) -> tuple[list[int], int, int]:
-    """Splitters of (key, crc, size) rows into about ``parts`` ranges; total size, count of rows."""
-    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+def find_splitters(rows: DataFrame, parts: int, total: int) -> tuple[list[str], list[tuple[int, int]]]:
+    """Splitters of records into ``parts`` ranges or more, and each range's bytes and rows."""
     splitters = quantiles(sampled(rows, total, parts * SAMPLES_A_RANGE, 0), parts)
-    for k in range(1, ROUNDS):
-        ranges = rows.groupBy(range_of(F.col("key"), splitters).alias("r")).agg(F.sum("size").alias("size"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        full = ranges.where((F.col("size") > OVERFULL * total / parts) & (F.col("lo") < F.col("hi"))).orderBy(F.desc("size")).limit(MOST_RANGES).collect()
-        if not full or len(splitters) >= MOST_RANGES:
+    for k in range(1, ROUNDS + 1):
+        found = {r["r"]: (r["bytes"], r["rows"]) for r in rows.groupBy(range_of(F.col("place"), splitters).alias("r")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()}
+        sizes = [found.get(r, (0, 0)) for r in range(len(splitters) + 1)]
+        full = [r for r, (size, n) in enumerate(sizes) if size > OVERFULL * total / parts and n > 1]
+        if not full or k == ROUNDS:
             break
-        inside = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(r["r"],) for r in full], "r int")), range_of(F.col("key"), splitters) == F.col("r"))
-        cuts = set(splitters)
-        drawn = sampled(inside, sum(r["size"] for r in full), len(full) * SAMPLES_A_RANGE, k)
-        for r in full:
-            own = [s for s in drawn if r["lo"] < s <= r["hi"]]
-            cuts |= set(quantiles(own, 1 + math.ceil(r["size"] * parts / total)))
-        splitters = sorted(cuts)[:MOST_RANGES]
-    return splitters, total, n
+        drawn: dict[int, list[str]] = {r: [] for r in full}
+        share = {r: 1 + int(sizes[r][0] * parts / total) for r in full}
+        for x in sampled(rows.where(range_of(F.col("place"), splitters).isin(full)), sum(sizes[r][0] for r in full), sum(share.values()) * SAMPLES_A_RANGE, k):
+            drawn[bisect_right(splitters, x)].append(x)
+        splitters = sorted({*splitters, *(x for r in full for x in quantiles(drawn[r], share[r]))})
+    return splitters, sizes
 
 
 def shard(df: DataFrame, n_shards: int, key_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """One row per record: key, size, text_crc32, law, shard, slot, grown_shard (null: the law is not ``key``)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(key_col).cast("long").alias("key"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    rows = staged(records(df, key_col, text_col), "records")
     wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    splitters, total, _ = find_splitters(rows, min(MOST_RANGES, parts or max(4 * n_shards, 2 * wide)))
-    # A key that fills several ranges by itself is cut further, by its records' checksums.
-    limit = 4 * OVERFULL * max(total, 1) / (len(splitters) + 1)
-    heavy = [r[0] for r in rows.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > limit).select("key").collect()]
-    cuts = sorted(k for k in heavy if k is not None)
-    is_cut = F.col("key").isin(cuts) if cuts else F.lit(False)
-    mark = 2 * range_of(F.col("key"), cuts) - F.when(is_cut, 1).otherwise(0)  # keys below a heavy one, itself, keys above it
-    sub = F.when(is_cut | (F.col("key").isNull() if None in heavy else F.lit(False)), F.shiftright("crc", 24)).otherwise(0)
-    ranged = rows.withColumn("r", F.struct(range_of(F.col("key"), splitters).cast("int").alias("a"), mark.cast("int").alias("k"), F.col("key").isNotNull().alias("set"), sub.cast("int").alias("b")))
-    w = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    before = totals.select("r", F.coalesce(F.sum("bytes").over(w), F.lit(0)).alias("bytes0"), F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("rows0"))
-    inside = Window.partitionBy("r").orderBy(F.col("key").asc_nulls_first(), "crc", "size")
-    run = inside.rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        ranged.withColumn("byte_at", F.coalesce(F.sum("size").over(run), F.lit(0))).withColumn("row_at", F.row_number().over(inside) - 1)
-        .join(before, "r")
-        .withColumn("at", F.col("rows0") + F.col("row_at"))
-        .withColumn("shard", F.least(F.lit(n_shards - 1), F.floor((F.col("bytes0") + F.col("byte_at")) * n_shards / F.lit(max(total, 1)))).cast("int"))
-    )
-    first = placed.groupBy("shard").agg(F.min("at").alias("first"))
-    return placed.join(F.broadcast(first), "shard").select(
-        F.col("key").alias(key_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    total = max(1, rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    splitters, sizes = find_splitters(rows, min(MOST_RANGES, parts or max(4 * n_shards, 2 * wide)), total)
+    bytes0, rows0 = ([0, *accumulate(x)] for x in zip(*sizes, strict=True))
+    inside = Window.partitionBy("r").orderBy("place")
+    before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    byte_at, row_at = F.get(literals(bytes0), F.col("r")) + before, F.get(literals(rows0), F.col("r")) + F.row_number().over(inside) - 1
+
+    def placed(some: DataFrame) -> DataFrame:
+        own = some.withColumn("r", range_of(F.col("place"), splitters)).withColumns({"byte_at": byte_at, "at": row_at})
+        return own.withColumn("shard", F.expr(f"CAST(least({n_shards - 1}L, (byte_at * {n_shards}L) div {total}L) AS INT)"))
+
+    # a shard begins where a range does or inside one of at most n_shards ranges
+    ends = [min(n_shards - 1, b * n_shards // total) for b in bytes0]
+    first: dict[int, int] = {}
+    for r in range(len(sizes)):
+        if sizes[r][1]:
+            first[ends[r]] = min(rows0[r], first.get(ends[r], rows0[r]))
+    crossed = [r for r in range(len(sizes)) if ends[r] != ends[r + 1]]
+    if crossed:
+        for x in placed(rows.where(range_of(F.col("place"), splitters).isin(crossed))).groupBy("shard").agg(F.min("at").alias("at")).collect():
+            first[x["shard"]] = min(x["at"], first.get(x["shard"], x["at"]))
+    begin = literals([first.get(s, 0) for s in range(n_shards)])
+    return placed(rows).select(F.col("key").alias(key_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("at") - F.get(begin, F.col("shard"))).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
