@@ -5,13 +5,15 @@ softmax, trained in numpy on labelled text and applied to every window of every
 whole text. A document's probabilities are the mean over its windows that hold
 letters, weighted by the windows' letters.
 
-Training uses a bounded sample of labelled documents (``TRAIN_DOCS`` a language,
-one window of each). For prediction the filters are folded into tables over
+Training uses a bounded sample of windows: of a language about ``TRAIN_DOCS``
+documents are drawn (fewer where ``TRAIN_TOTAL`` of all languages would be passed),
+and of each one window from anywhere in it. All languages are learned. For prediction the filters are folded into tables over
 pairs of bytes, which gives the same sums as the convolution.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 an empty table gives an empty table; with no labelled row at all every text with
-letters is ``und`` with score 0; repeated rows give equal rows.
+letters is ``und`` with score 0; repeated rows give equal rows. Columns of
+``label``'s input that have the names of its results are replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -25,15 +27,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm.common import hold, id_fold, table
+from lithos.llm.common import hold, id_fold, sent_whole, table
 from lithos.llm.sharding import chance
 from lithos.llm.windows import BLANK, adam, windows
 
 #: Bytes of a window; labelled documents drawn for a language, at most about so many; passes over them.
 WINDOW, TRAIN_DOCS, EPOCHS = 256, 700, 12
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 8
-#: Languages at most: the most frequent labels are learned.
-MOST_LANGS = 256
+#: Windows drawn of all languages together, about.
+TRAIN_TOTAL = 200_000
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -110,13 +112,15 @@ class ByteConv:
 def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_class: int = TRAIN_DOCS) -> ByteConv | None:
     """A network fitted to a bounded sample of the rows of ``docs`` with a label and a letter."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGS).collect()}
-    if not counts:
+    counts = rows.groupBy("label").count()  # a row a language
+    langs = counts.count()
+    if not langs:
         return None
     # one window of a drawn document, at a place its id decides
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
+    each = min(float(per_class), TRAIN_TOTAL / langs)
+    rows = rows.join(sent_whole(counts.select("label", (F.lit(each) / F.col("count")).alias("rate")), 1 << 20), "label")
     place = F.floor(chance("id", F.lit(3)) * F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
-    drawn = rows.where(chance("id", F.lit(1)) < F.element_at(rate, F.col("label"))).select("id", "label", F.substring("text", place, F.lit(WINDOW)).alias("text")).collect()
+    drawn = rows.where(chance("id", F.lit(1)) < F.col("rate")).select("id", "label", F.substring("text", place, F.lit(WINDOW)).alias("text")).collect()
     drawn = sorted((r["id"], r["label"], r["text"]) for r in drawn if LETTER.search(r["text"]))
     classes = sorted({r[1] for r in drawn})
     if not classes:

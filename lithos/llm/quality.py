@@ -5,14 +5,15 @@ its bytes show (kinds of characters, how often its short strings repeat) and a
 learned layer; gated attention weights, learned from document labels alone, say
 which passages matter; the weighted mean is scored.
 
-Training uses a bounded sample: about ``TRAIN_DOCS`` labelled documents, of each
-at most ``TRAIN_PASSAGES`` evenly spaced passages. Prediction uses every passage
-of every whole text.
+Training uses a bounded sample, about ``TRAIN_DOCS`` labelled documents, with every
+passage of each. Prediction uses every passage of every whole text.
 
 Defined results: a null or empty text is one blank passage and gets its score;
 an empty table gives an empty table; without labelled rows, or with one class
-only, every score is the share of label 1 (0.5 without rows). Labels of repeated
-rows all count.
+only, every score is the share of label 1 (0.5 without rows). Equal labels of one
+id count once, and of several texts with one id the first in order is learned;
+repeated rows get equal scores. A column of ``score``'s input that has the name of
+the score is replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm.common import id_fold, mix64, table
+from lithos.llm.common import id_fold, mix64, sent_whole, table
 from lithos.llm.sharding import chance
 from lithos.llm.windows import adam, windows
 
-PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES, EPOCHS = 512, 4000, 48, 30
+PASSAGE, TRAIN_DOCS, EPOCHS = 512, 4000, 30
 HIDDEN, GATE = 24, 16
 #: Groups of bytes counted: each ASCII punctuation mark and control byte by itself, letters and digits by kind.
 KIND = np.zeros(256, np.int64)
@@ -126,16 +127,15 @@ class AttentionBags:
 
 
 def passages(rows: DataFrame) -> DataFrame:
-    """(id, label, text) to (id, label, features) of evenly spaced passages, for training."""
+    """(id, label, text) to (id, label, features) of all passages, for training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for _, n, x, own in windows(b.column(2), PASSAGE):
-                for k in range(n):
-                    at = np.flatnonzero(own == k)
-                    at = at[np.unique(np.linspace(0, len(at) - 1, min(len(at), TRAIN_PASSAGES)).astype(int))]
-                    out.append(encode(x[at]).astype("<f4").tobytes())
+                first = np.searchsorted(own, np.arange(n + 1))
+                features = encode(x).astype("<f4")
+                out += [features[a:e].tobytes() for a, e in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "label", "x"])
 
     return rows.mapInArrow(run, "id long, label int, x binary")
@@ -143,14 +143,14 @@ def passages(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = TRAIN_DOCS) -> AttentionBags:
     """Fit to documents (doc_id, text) with a 0/1 label; the sample is bounded by ``most``."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return AttentionBags(float(next(iter(counts), 0.5)))
     # half of the sample from either class, so that a rare class is learned
     rate = F.when(F.col("label") == 1, most / 2 / counts[1]).otherwise(most / 2 / counts[0])
-    drawn = known.where(chance("id", F.lit(21)) < rate)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(drawn), "id").select("id", "label", "text")
+    drawn = sent_whole(known.where(chance("id", F.lit(21)) < rate), 4 * most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(drawn, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     got = sorted((r["id"], r["label"], r["x"]) for r in passages(rows).collect())
     if len({g[1] for g in got}) < 2:
         return AttentionBags(counts[1] / (counts[0] + counts[1]))
