@@ -38,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithos.llm.common import hold, shared_dir, table
+from lithos.llm.common import hold, mix64, shared_dir, table
 
 KEEP_WORDS = 1_200_000
 #: Bytes of texts that are encoded together.
 TOGETHER = 1 << 19
 LONGEST_KEPT = 48
+#: Chunks and documents of a partition, about; addresses of chunks met before that a task remembers.
+PART_CHUNKS, PART_DOCS, KEEP_ADDRESSES = 200_000, 100_000, 1_000_000
 #: Chunk lengths in ids: shortest, usual (a power of two), longest.
 SHORTEST, USUAL, LONGEST = 64, 256, 2048
 #: Ids that one rolling hash spans.
@@ -229,27 +231,33 @@ class Tree:
 CHUNKS = "h binary, n int, payload binary"
 MANIFEST = "shard int, documents long, ids long, root binary"
 RECIPES = "doc_id long, n_tokens long, hashes binary, root binary"
-BOTH = f"{RECIPES}, {CHUNKS}"
+#: ``spread`` tells repeated rows apart, so that they can be dealt to several partitions.
+BOTH = f"{RECIPES}, {CHUNKS}, spread long"
 
 
 def encoded(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Recipe rows and, for chunks a task meets first, chunk rows (the other columns null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = word_ids(tokenizer_path, end_id), set()
+        words, seen, rows = word_ids(tokenizer_path, end_id), set(), 0
         unit = words.kind.itemsize
         for b in batches:
+            if len(seen) > KEEP_ADDRESSES:
+                seen.clear()
             docs: tuple[list, ...] = ([], [], [], [])
             chunks: tuple[list, ...] = ([], [], [])
             size = 0
 
             def flush(docs=docs, chunks=chunks) -> pa.RecordBatch:
+                nonlocal rows
                 d, c = len(docs[0]), len(chunks[0])
+                rows += d
+                spread = pa.array(mix64(np.arange(rows - d, rows + c, dtype=np.uint64)).view(np.int64))
                 cols = [pa.array(x + [None] * c, t) for x, t in zip(docs, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
                 cols += [pa.array([None] * d + x, t) for x, t in zip(chunks, (pa.binary(), pa.int32(), pa.binary()), strict=True)]
                 for x in (*docs, *chunks):
                     x.clear()
-                return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "hashes", "root", "h", "n", "payload"])
+                return pa.RecordBatch.from_arrays([*cols, spread], ["doc_id", "n_tokens", "hashes", "root", "h", "n", "payload", "spread"])
 
             for doc, raw in zip(b.column(0), in_groups(b.column(1), words), strict=True):
                 ids = np.frombuffer(raw, words.kind)
@@ -295,11 +303,13 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1)
     both = f"{path}/_encoded"
     encoded(df, tokenizer_path, end_id).write.option("compression", "zstd").parquet(both)
     rows = spark.read.schema(BOTH).parquet(both)
-    chunks = rows.where("h is not null").select("h", "n", "payload").repartition("h")
+    documents, pieces = rows.agg(F.count_if(F.col("h").isNull()), F.count("h")).first()
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = rows.where("h is not null").select("h", "n", "payload").repartition(max(wide, -(-pieces // PART_CHUNKS)), "h")
     once(chunks).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = rows.where("h is null").select("doc_id", "n_tokens", "hashes", "root")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    recipes.repartitionByRange(shards, "doc_id", F.xxhash64("root")).sortWithinPartitions("doc_id", "root").select(F.spark_partition_id().alias("shard"), "*").write.parquet(f"{path}/recipes")
+    recipes = rows.where("h is null").select("doc_id", "n_tokens", "hashes", "root", "spread")
+    dealt = recipes.repartitionByRange(max(wide, -(-documents // PART_DOCS)), "doc_id", F.xxhash64("root"), "spread")
+    dealt.sortWithinPartitions("doc_id", F.xxhash64("root"), "root").select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "hashes", "root").write.parquet(f"{path}/recipes")
 
     manifest_of(read_recipes(spark, path)).write.parquet(f"{path}/manifest")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(both)
