@@ -64,6 +64,34 @@ def test_near_duplicates(docs, none, words, percent):
     assert minhash.near_duplicates(none, words, percent).count() == 0
 
 
+def test_near_duplicates_of_rows_without_an_id_and_repeated_rows(spark):
+    rows = [(1, BASE[0], 1), (None, BASE[0], 2), (2, BASE[0], 3), (2, BASE[0], 3), (None, None, 4), (3, near(BASE[1]), 5)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id int"), 3, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True)]
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """A large group whose documents are below the threshold from its first one: blocks find every link between them."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(40):  # a chain: neighbours are near, distant ones are not
+        base[k * 4 : k * 4 + 3] = [f"c{k}a", f"c{k}b", f"c{k}c"]
+        texts.append(" ".join(base))
+    texts += [" ".join(f"z{j}" if r.random() < 0.05 else w for j, w in enumerate(base)) for _ in range(40)]
+    s = [shingles(t, 3) for t in texts]
+    root = list(range(len(s)))
+    find = lambda k: k if root[k] == k else find(root[k])
+    for a in range(len(s)):
+        for b in range(a):
+            if 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    assert got == {k: find(k) for k in range(len(s))} and 1 < len(set(got.values())) < len(s)
+
+
 def test_components(spark):
     e = [(k, k + 1) for k in range(0, 40)] + [(100, 60), (60, 80)] + [(7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(e, "a long, b long")).collect()))
@@ -206,12 +234,19 @@ def test_sharding(docs, none, shards):
     assert sharding.shard(none, shards).count() == 0
 
 
-def test_sharding_with_one_heavy_key(spark):
-    rows = [(5 if k % 3 else k, f"text {k} " * (k % 9)) for k in range(400)] + [(None, "n")] * 3
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
-    assert len(got) == len(rows)
-    for s in {r.shard for r in got}:
-        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+@pytest.mark.parametrize("parts", [None, 5, 60])
+def test_sharding_with_one_heavy_key(spark, parts):
+    """One key, and one record repeated, hold a third of all rows each; shards are near equal and slots without gaps."""
+    rows = [(5, f"text {k} " * (k % 9)) for k in range(200)] + [(7, "the same text")] * 200 + [(k, f"text {k} " * (k % 9)) for k in range(100, 300)] + [(None, "n")] * 3 + [(-4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shard(df, 4, parts=parts).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32) for r in got) == sorted((k is not None, k or 0, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for k, t in rows)
+    total, largest = sum(r.size for r in got), max(r.size for r in got)
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id is not None and r.doc_id for r in order] == sorted((k is not None and k for k, _ in rows), key=lambda k: (k is not False, k))
+    for s in range(4):
+        own = [r for r in order if r.shard == s]
+        assert [r.slot for r in own] == list(range(len(own))) and abs(sum(r.size for r in own) - total / 4) <= largest
 
 
 def test_mixing(spark, docs, none):
@@ -224,26 +259,42 @@ def test_mixing(spark, docs, none):
     assert mixing.planned(none).count() == 0 and mixing.mix(none).count() == 0
 
 
-def test_exact_topk(spark):
+@pytest.mark.parametrize("group", [1 << 16, 128])
+def test_exact_topk(spark, monkeypatch, group):
+    monkeypatch.setattr(exact_topk, "GROUP", group)  # 128: many groups for a task to hold one by one
+    monkeypatch.setattr(exact_topk, "GROUP_LEAST", 256)
     r = np.random.default_rng(3)
     v = r.normal(size=(700, 12)) * r.uniform(0.1, 4, (700, 1))
     v[50:90] = v[50]
     v[300:340] = v[10] * 0.99
-    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(1000, None), (1001, [None, 1.0]), (1002, [float("nan")] * 12), (1003, [float("inf")] * 12), (1100, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    i = np.floor(v * 1024).astype(np.int64)
-    want = []
-    for q in range(0, 700, 10):
-        s = i @ i[q]
-        for rank, k in enumerate([k for k in np.lexsort((np.arange(700), -s)) if k != q][:10], 1):
-            want.append((q, rank, int(k), int(s[k])))
-    got = exact_topk.top_k(df, df.where("vec_id % 10 = 0"), 10).collect()
-    assert sorted(map(tuple, got)) == want
+    v[699] = 0
+    rows = [(k, x.tolist()) for k, x in enumerate(v[:-1])] + [(699, []), (1000, None), (1001, [None, 1.0]), (1002, [float("nan")] * 12), (1003, [float("inf")] * 12)]
+    df = spark.createDataFrame([(*x, "more", 1.0) for x in rows], "vec_id long, embedding array<double>, id string, length double").repartition(3)
+    for scale in (1024, None):
+        i = np.floor(v * 1024).astype(np.int64) if scale else v
+        want = []
+        for q in [*range(0, 700, 10), 699]:
+            s = i @ i[q]
+            for rank, k in enumerate([k for k in np.lexsort((np.arange(700), -s)) if k != q][:10], 1):
+                want.append((q, rank, int(k), pytest.approx(s[k]) if scale is None else int(s[k])))
+        got = sorted(map(tuple, exact_topk.top_k(df, df.where("vec_id % 10 = 0 or vec_id = 699"), 10, scale=scale).collect()))
+        if scale is None:  # scores of copies may differ in the last bit
+            got, want = [x[::3] for x in got], [x[::3] for x in sorted(want, key=lambda x: x[:2])]
+        else:
+            want.sort()
+        assert got == want
     assert exact_topk.top_k(df.where("false"), df.where("false"), 10).count() == 0
     few = df.where("vec_id < 4")
     assert exact_topk.top_k(few, few.where("vec_id = 0"), 10).count() == 3
 
 
+def test_exact_topk_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, exact_topk.top_k(df, df, 10, scale=1).collect()))
+    assert got == [(1, 1, 2, 1), (1, 2, 2, 1), (1, 3, 3, 0), (2, 1, 1, 1), (2, 2, 1, 1), (2, 3, 3, -1), (3, 1, 1, 0), (3, 2, 1, -1), (3, 3, 2, -1), (3, 4, 2, -1)]
+
+
 def test_nn_descent_recall(spark):
     r = np.random.default_rng(9)
     v = r.normal(size=(1500, 24))
@@ -266,6 +317,51 @@ def test_nn_descent_recall(spark):
     assert nn_descent.nearest(df.where("false"), df.where("false"), 20).count() == 0
 
 
+def test_rounds_make_the_graph(spark, monkeypatch):
+    """Without rounds the start finds little; the shipped rounds reach nine tenths, on more vectors than any group holds."""
+    v = np.random.default_rng(11).normal(size=(20000, 32)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = staged_vectors(spark, v)
+    asked = df.where("vec_id % 200 = 0")
+    true = {}
+    for q in range(0, len(v), 200):
+        s = v.astype(float) @ v[q].astype(float)
+        s[q] = -9
+        true[q] = set(np.argpartition(-s, 20)[:20].tolist())
+    share = {}
+    for rounds in (0, nn_descent.MOST_ROUNDS):
+        monkeypatch.setattr(nn_descent, "MOST_ROUNDS", rounds)
+        got = nn_descent.nearest(df, asked, 20).select("query_id", "vec_id").collect()
+        assert len(got) == 20 * len(true)
+        share[rounds] = sum(r.vec_id in true[r.query_id] for r in got) / len(got)
+    assert share[0] < 0.5 and share[nn_descent.MOST_ROUNDS] >= 0.9, share
+
+
+def staged_vectors(spark, v):
+    import pandas as pd
+
+    return spark.createDataFrame(pd.DataFrame({"vec_id": range(len(v)), "embedding": v.astype(float).tolist()}), "vec_id long, embedding array<double>").repartition(4).cache()
+
+
+def test_neighbours_few_and_hot(spark):
+    """Few candidates are all returned; a vector that a third of the rows hold; one id on very many vectors."""
+    r = np.random.default_rng(2)
+    rows = [(k, [1.0, 0.0, 0.0]) for k in range(100)] + [(100 + k, r.normal(size=3).tolist()) for k in range(100)] + [(500, r.normal(size=3).tolist()) for _ in range(100)]
+    df = spark.createDataFrame([(*x, "more") for x in rows], "vec_id long, embedding array<double>, node string")
+    v = np.array([x for _, x in rows])
+    ids = np.array([k for k, _ in rows])
+    own = {k: min((x for i, x in rows if i == k)) for k in (0, 50, 120, 500)}
+    got: dict[int, list] = {}
+    for x in nn_descent.nearest(df, df.where("vec_id in (0, 50, 120, 500)"), 8).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, round(x.score, 9)))
+    for q, a in own.items():
+        s = v @ np.array(a)
+        want = [(int(ids[k]), round(float(s[k]), 9)) for k in np.lexsort((ids, -s)) if ids[k] != q][:8]
+        assert got[q] == want
+    few = df.where("vec_id in (0, 1, 100)")
+    assert nn_descent.nearest(few, few, 8).groupBy("query_id").count().select("count").distinct().collect() == [(2,)]
+
+
 def test_neighbours_with_two_vectors_of_one_id(spark):
     v = np.random.default_rng(3).normal(size=(60, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -279,6 +375,57 @@ def test_neighbours_with_two_vectors_of_one_id(spark):
     assert got == want
 
 
+def test_folded_tables_equal_the_convolution():
+    """The language network's tables against its definition: filters over embedded bytes, the largest of each, a softmax."""
+    net = language_id.ByteConv(["a", "b", "c"], seed=3)
+    net.prepare()
+    x = np.random.default_rng(4).integers(0, 256, (70, 64), dtype=np.uint8)
+    want = []
+    for row in x:
+        e = net.p["emb"][row].astype(float)
+        h = np.concatenate([np.max([e[k : k + w].ravel() @ net.p[f"w{w}"] for k in range(len(row) - w + 1)], 0) for w in language_id.WIDTHS])
+        z = np.maximum(h, 0) @ net.p["out"] + net.p["bias"]
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.abs(net.probabilities(x) - want).max() < 1e-5
+
+
+def test_attention_equals_its_definition(spark):
+    """Scores of whole texts against a plain forward pass over each document's passages, long and short ones."""
+    net = quality.AttentionBags(seed=8)
+    net.fitted = True
+    texts = ["", None, "one line", LONG * 3, *BASE[:5], "x" * 511, "x" * 513]
+    got = {r.k: r.score for r in quality.score(spark.createDataFrame([(k, t, 9.0) for k, t in enumerate(texts)], "k long, text string, score double"), net).collect()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        bag = [np.frombuffer(raw[a : a + quality.PASSAGE].ljust(quality.PASSAGE), np.uint8) for a in range(0, max(1, len(raw)), quality.PASSAGE)]
+        p = {n: w.astype(float) for n, w in net.p.items()}
+        hs = [np.tanh((quality.encode(b[None])[0] - net.mean) / net.scale @ p["w"] + p["b"]) for b in bag]
+        e = np.array([((np.tanh(h @ p["v"]) * sig(h @ p["u"])) @ p["a"])[0] for h in hs])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        assert got[k] == pytest.approx(sig(sum(w * h for w, h in zip(a, hs)) @ p["o"] + p["c"])[0], abs=1e-5)
+
+
+def test_training_without_two_classes(spark, none):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(9)] * 2 + [(3, None), (None, 0)], "doc_id long, quality int")
+    one = quality.train(docs, labels.where("quality = 1"))
+    assert {r.score for r in quality.score(docs, one).collect()} == {1.0}
+    assert {r.score for r in quality.score(docs, quality.train(docs, labels.where("false"))).collect()} == {0.5}
+    hot = quality.train(docs.unionByName(docs), labels.unionByName(spark.createDataFrame([(4, 0)] * 50, labels.schema)))  # one id fills the labels
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, hot).collect())
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the sample has windows for one each: those drawn are learned, none by rank."""
+    rows = [(k, chr(97 + k % 26) * 40, f"l{k % 26}") for k in range(520)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.train(df)
+    assert net.classes == sorted({x[2] for x in rows})
+    monkeypatch.setattr(language_id, "TRAIN_TOTAL", 130)
+    assert 20 <= len(language_id.train(df).classes) <= 26
+
+
 def test_language_and_quality(spark, none):
     lang = {"aa": "kai mou tha den einai pros", "bb": "zwisch ung heit schön über der", "cc": "ción ñada por los que esta"}
     rows, labels = [], []
