@@ -37,7 +37,7 @@ from lithos.llm.common import drop_staged, forget_shuffles, staged, table, whole
 from lithos.llm.exact_topk import matrix, usable
 
 #: Neighbours of a node, reverse neighbours met in a round at most, neighbours offered to a member of a group at most.
-DEGREE, REVERSE, OFFERED = 40, 32, 16
+DEGREE, REVERSE, OFFERED = 40, 32, 8
 #: Random groups of each node at the start.
 STARTS = 4
 #: Rounds at most, and the share of changed neighbours that ends them.

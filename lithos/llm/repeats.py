@@ -5,19 +5,24 @@ each such string the smallest hash among its shorter grams is its anchor; runs o
 neighbouring strings with one anchor are a segment. Equal strings have equal
 anchors, so a string can only repeat inside the segments of one anchor:
 
-* segments that are equal throughout repeat as a whole; the first stays;
-* an anchor with several different segments sends the first of each, with its
-  text, to one sorter, which orders their suffixes (see ``suffix_sort``); of
-  suffixes that agree over ``LENGTH`` bytes the earliest start stays.
+* segments that have equal hashes throughout are a class; inside a batch their bytes
+  are compared, between batches digests of their bytes are, and the first stays;
+* an anchor with several classes sends the first of each, with its text, to one
+  sorter, which orders their suffixes (see ``suffix_sort``); of suffixes that agree
+  over ``LENGTH`` bytes the earliest start stays. So does an anchor of which a class
+  turns out to hold different bytes.
 
 Anchors that a bounded sample of documents shows to be very common are dealt by
-segment, and their strings by their own content after each task has kept only its
-first of each, so that a common line or passage is spread over tasks.
+segment; their strings, and those of any anchor with more than ``MANY`` different
+segments, are dealt by their own content after each task has kept only its first of
+each, so that a common line or passage is spread over tasks. Tasks read segments in
+order and hold a bounded number of them.
 
 Order is by document id, then start; strings are judged on the input. Defined
 results: a null text counts as empty; texts under LENGTH bytes stay whole; an
-empty table gives an empty table; columns besides id and text are not read; ids
-are taken to be unique: repeated rows of one id and text are one document.
+empty table gives an empty table; columns besides id and text are not read; a row
+without an id stays whole; ids are taken to be unique: repeated rows of one id and
+text are one document.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithos.llm.common import hold, mix64, odd_powers, staged, table
@@ -38,8 +43,12 @@ from lithos.llm.suffix_sort import equal_classes
 LENGTH, GRAM = 100, 24
 PIECE = 1 << 20
 INDEX_BITS = np.uint64(24)
+#: Bits of a segment's hash.
+HASH_BITS = 64
 #: Documents sampled for very common anchors; different segments there that make an anchor common.
 SAMPLE_DOCS, COMMON = 4000, 24
+#: Different segments of an anchor whose strings are dealt one by one; segments that a task holds.
+MANY, HELD = 20_000, 1 << 18
 SORT_BYTES = 4 << 20
 
 
@@ -112,114 +121,182 @@ def long_segments(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
 ROW = "key long, common boolean, ha long, hs long, doc long, lo int, n int"
 
 
+def confirmed(raw: bytes, pos: np.ndarray, n: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Of segments with the hash of the one before them in order, those that have the bytes of their class's first."""
+    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
+    i = np.flatnonzero(again)
+    i = i[np.argsort(pos[i], kind="stable")]
+    back = pos[i] - pos[head[i]]
+    new = np.append(True, (back[1:] != back[:-1]) | (pos[i][1:] != pos[i][:-1] + n[i][:-1]))  # neighbours that repeat neighbours go together
+    first = np.flatnonzero(new) if len(i) else i
+    out = again & (n == n[head])
+    for a, e in zip(first.tolist(), [*first[1:].tolist(), len(i)]):
+        lo, hi, d = int(pos[i[a]]), int(pos[i[e - 1]] + n[i[e - 1]]) + LENGTH - 1, int(back[a])
+        if raw[lo:hi] != raw[lo - d : hi - d]:
+            for k in i[a:e].tolist():
+                lo, hi = int(pos[k]), int(pos[k] + n[k]) + LENGTH - 1
+                out[k] &= raw[lo:hi] == raw[lo - d : hi - d]
+    return out
+
+
 def anchors(rows: DataFrame, common: np.ndarray) -> DataFrame:
     """Segments of every text. Of equal ones in a batch the first has its key, the others none: they go."""
+    unused = np.uint64(64 - HASH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("repeats")
         for b in batches:
-            ids = np.asarray(b.column(0), np.int64)
-            parts = []
-            for first, _, data, cuts in texts_of(b.column(1)):
-                doc, lo, n, ha, hs = long_segments(data, cuts)
-                parts.append((ids[first + doc], lo, n, ha, hs))
+            ids, parts = np.asarray(b.column(0), np.int64), []
+            texts = b.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            for first, _, data, cuts in texts_of(texts):
+                doc, *rest = long_segments(data, cuts)
+                parts.append((first + doc, *rest))
             if not parts:
                 continue
-            doc, lo, n, ha, hs = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((lo, doc, hs))
-            doc, lo, n, ha, hs = (x[order] for x in (doc, lo, n, ha, hs))
-            first = np.append(True, hs[1:] != hs[:-1]) if len(hs) else np.zeros(0, bool)
+            row, lo, n, ha, hs = (np.concatenate(x) for x in zip(*parts, strict=True))
+            hs >>= unused
+            order = np.lexsort((lo, ids[row], hs))
+            row, lo, n, ha, hs = (x[order] for x in (row, lo, n, ha, hs))
+            doc, again = ids[row], np.append(False, hs[1:] == hs[:-1]) if len(hs) else np.zeros(0, bool)
+            if again.any():
+                again = confirmed(np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]].tobytes(), ends[row] - ends[0] + lo, n, again)
             hot = np.isin(ha, common)
             key = np.where(hot, mix64(ha ^ hs), ha).view(np.int64)
             for a in range(0, len(doc), 1 << 18):
                 s = slice(a, a + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(key[s], mask=~first[s]), pa.array(hot[s]), pa.array(ha[s].view(np.int64)), pa.array(hs[s].view(np.int64)), pa.array(doc[s]), pa.array(lo[s].astype(np.int32)), pa.array(n[s].astype(np.int32))], ["key", "common", "ha", "hs", "doc", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[s], mask=again[s]), pa.array(hot[s]), pa.array(ha[s].view(np.int64)), pa.array(hs[s].view(np.int64)), pa.array(doc[s]), pa.array(lo[s].astype(np.int32)), pa.array(n[s].astype(np.int32))], ["key", "common", "ha", "hs", "doc", "lo", "n"])
 
     return rows.mapInArrow(run, ROW)
 
 
-#: gone: the whole segment repeats. Else its strings must be sorted against the anchor's other segments.
-VERDICT = "gone boolean, common boolean, ha long, doc long, lo int, n int"
+#: What becomes of a segment: it repeats one of its batch; it has a class to be confirmed, and is not that one's
+#: first; its strings are sorted against the anchor's other segments, or (very common anchors) dealt one by one.
+GONE, AGAIN, LATER, SORT, EACH = 1, 2, 4, 8, 16
+VERDICT = "what int, ha long, doc long, lo int, n int"
 
 
 def judged(dealt: DataFrame) -> DataFrame:
-    """Of segments dealt by key: which repeat as a whole, and which must be sorted."""
+    """Of segments dealt by key and in the order of (ha, hs, doc, lo): those that may repeat, and how that is decided."""
+    too_many, at_once = MANY, HELD
+
+    def settle(ha: np.ndarray, hs: np.ndarray, hot: np.ndarray, before: tuple | None, cut: bool) -> np.ndarray:
+        """``before``: anchor and class at the end of rows already settled; ``cut``: the last anchor goes on."""
+        later = np.append(before == (ha[0], hs[0]), (hs[1:] == hs[:-1]) & (ha[1:] == ha[:-1]))
+        head = np.flatnonzero(np.append(True, ha[1:] != ha[:-1]))
+        size = np.diff(np.append(head, len(ha)))
+        different = np.add.reduceat(~later, head, dtype=np.int64)
+        many = different > too_many
+        many[0] |= before is not None and before[0] == ha[0]
+        many[-1] |= cut
+        each, several = np.repeat(many, size) | hot, np.repeat(different > 1, size)
+        again = later | np.append(later[1:], cut)
+        return AGAIN * again + LATER * later + (SORT + EACH * each) * ((several | each) & ~later)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, out = [], []
+        held, before = [np.zeros(0, t) for t in (bool, np.int64, np.int64, np.int64, np.int32, np.int32)], None
+
+        def out(upto: int, cut: bool) -> pa.RecordBatch:
+            nonlocal held, before
+            hot, ha, hs, doc, lo, n = (x[:upto] for x in held)
+            held = [x[upto:] for x in held]
+            what = settle(ha, hs, hot, before, cut)
+            before = (ha[-1], hs[-1]) if cut else None
+            keep = what > 0
+            return pa.RecordBatch.from_arrays([pa.array(what[keep].astype(np.int32)), pa.array(ha[keep]), pa.array(doc[keep]), pa.array(lo[keep]), pa.array(n[keep])], ["what", "ha", "doc", "lo", "n"])
+
         for b in batches:
             cols = [np.asarray(b.column(k)) for k in range(1, 7)]
             if b.column(0).null_count:
                 local = np.asarray(b.column(0).is_null())
-                out.append([c[local] for c in cols])
+                here = b.filter(pa.array(local))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(here.num_rows, GONE, np.int32)), *here.select(["ha", "doc", "lo", "n"]).columns], ["what", "ha", "doc", "lo", "n"])
                 cols = [c[~local] for c in cols]
-            kept.append(cols)
-        if not kept:
-            return
-        hot, ha, hs, doc, lo, n = (np.concatenate(x) for x in zip(*kept, strict=True))
-        kept.clear()
-        order = np.lexsort((lo, doc, hs, ha))
-        hot, ha, hs, doc, lo, n = (x[order] for x in (hot, ha, hs, doc, lo, n))
-        gone = np.append(False, (hs[1:] == hs[:-1]) & (ha[1:] == ha[:-1])) if len(ha) else np.zeros(0, bool)
-        head = np.flatnonzero(np.append(True, ha[1:] != ha[:-1])) if len(ha) else np.zeros(0, np.int64)
-        several = np.repeat(np.add.reduceat(~gone, head) > 1, np.diff(np.append(head, len(ha)))) if len(ha) else gone
-        want = gone | several | hot
-        for cols, g in [([hot[want], ha[want], hs, doc[want], lo[want], n[want]], gone[want])] + [(c, np.ones(len(c[0]), bool)) for c in out]:
-            for a in range(0, len(g), 1 << 18):
-                s = slice(a, a + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(g[s]), pa.array(cols[0][s]), pa.array(cols[1][s]), pa.array(cols[3][s]), pa.array(cols[4][s]), pa.array(cols[5][s])], ["gone", "common", "ha", "doc", "lo", "n"])
+            held = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if len(held[1]) >= at_once:
+                ends = np.flatnonzero(held[1][1:] != held[1][:-1])
+                yield out(int(ends[-1]) + 1, False) if len(ends) else out(len(held[1]), True)
+        if len(held[1]):
+            yield out(len(held[1]), False)
 
     return dealt.mapInArrow(run, VERDICT)
 
 
-PART = "key long, doc long, lo int, n int, part binary"
+#: Kinds of rows: a span that goes; a segment's digest (in key and other); text to be sorted; one string.
+PART = "kind int, key long, other long, later boolean, doc long, lo int, n int, part binary"
+CUT, CLASS, TEXT = 0, 1, 2
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
-    """Segments' text from (doc, text, segs): by anchor, or string by string where the anchor is common."""
+    """From (doc, text, segs): spans, digests, and text by anchor, or string by string where the anchor is common."""
+
+    def made(kind: int, key: np.ndarray, other: np.ndarray, later: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, part: list | None) -> pa.RecordBatch:
+        cols = [np.full(len(doc), kind, np.int32), key.astype(np.int64), other.astype(np.int64), later.astype(bool), doc.astype(np.int64), lo.astype(np.int32), n.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(doc), pa.binary()) if part is None else pa.array(part, pa.binary())], ["kind", "key", "other", "later", "doc", "lo", "n", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
             hot: dict[bytes, tuple[int, int]] = {}
-            later: list[tuple[int, int]] = []
+            text_of: tuple[list, ...] = ([], [], [], [], [])
+            gone: tuple[list, ...] = ([], [], [])
+            same: tuple[list, ...] = ([], [], [], [], [])
             size = 0
-            texts = b.column(1).cast(pa.large_binary())
-            for doc, text, segs in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), strict=True):
+            lists = b.column(2)
+            flat = lists.flatten()
+            off = (np.asarray(lists.offsets) - lists.offsets[0].as_py()).tolist()
+            what, ha, lo, n = (np.asarray(flat.field(k)) for k in range(4))
+            none = np.zeros(0, np.int64)
+
+            def texts_out(text_of: tuple[list, ...] = text_of) -> pa.RecordBatch:
+                key, doc, at, count, part = text_of
+                out = made(TEXT, np.array(key, np.int64), np.zeros(len(key)), np.zeros(len(key)), np.array(doc, np.int64), np.array(at, np.int32), np.array(count, np.int32), part)
+                for x in text_of:
+                    x.clear()
+                return out
+
+            for k, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True)):
                 raw = text.as_buffer()
                 view = memoryview(raw) if raw is not None else memoryview(b"")
-                for s in segs:
-                    lo, n = s["lo"], s["n"]
-                    if s["common"]:
-                        for p in range(lo, lo + n):
-                            g, here = bytes(view[p : p + LENGTH]), (doc, p)
-                            if (had := hot.get(g)) is None:
-                                hot[g] = here
-                            else:
-                                hot[g] = min(had, here)
-                                later.append(max(had, here))
-                        continue
-                    part = bytes(view[lo : lo + n + LENGTH - 1])
-                    for x, v in zip(out, (s["ha"], doc, lo, n, part), strict=True):
+                own = slice(off[k], off[k + 1])
+                w, p, c, h = what[own], lo[own], n[own], ha[own]
+                if (g := (w & GONE) > 0).any():
+                    cut = merged_spans(p[g].astype(np.int64), p[g] + c[g].astype(np.int64) + LENGTH - 1)
+                    for x, v in zip(gone, (np.full(len(cut), doc), cut[:, 0], cut[:, 1] - cut[:, 0] - LENGTH + 1), strict=True):
+                        x.append(v)
+                if (g := (w & AGAIN) > 0).any():
+                    d = [hashlib.blake2b(view[x : x + y + LENGTH - 1], digest_size=16).digest() for x, y in zip(p[g].tolist(), c[g].tolist())]
+                    for x, v in zip(same, (np.frombuffer(b"".join(d), "<i8").reshape(-1, 2), (w[g] & LATER) > 0, np.full(len(d), doc), p[g], c[g]), strict=True):
                         x.append(v)
-                    size += len(part)
-                    if size > 8 << 20:
-                        yield made(out)
-                        size = 0
-            for g, (doc, p) in hot.items():
+                for s in np.flatnonzero(w & SORT).tolist():
+                    x, y = int(p[s]), int(c[s])
+                    if not w[s] & EACH:
+                        for z, v in zip(text_of, (h[s], doc, x, y, bytes(view[x : x + y + LENGTH - 1])), strict=True):
+                            z.append(v)
+                        size += y + LENGTH
+                        continue
+                    for q in range(x, x + y):
+                        g, here = bytes(view[q : q + LENGTH]), (doc, q)
+                        if (had := hot.get(g)) is None:
+                            hot[g] = here
+                        else:
+                            hot[g] = min(had, here)
+                            for z, v in zip(gone, max(had, here), strict=False):
+                                z.append(np.array([v]))
+                            gone[2].append(np.ones(1, np.int64))
+                if size > 8 << 20:
+                    yield texts_out()
+                    size = 0
+            for g, (doc, q) in hot.items():
                 key = int.from_bytes(hashlib.blake2b(g, digest_size=8).digest(), "little", signed=True)
-                for x, v in zip(out, (key, doc, p, 1, g), strict=True):
-                    x.append(v)
-            for doc, p in later:
-                for x, v in zip(out, (0, doc, p, 1, None), strict=True):
+                for x, v in zip(text_of, (key, doc, q, 1, g), strict=True):
                     x.append(v)
-            yield made(out)
-
-    def made(out: tuple[list, ...]) -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "doc", "lo", "n", "part"])
-        for x in out:
-            x.clear()
-        return made
+            yield texts_out()
+            if gone[0]:
+                doc, p, c = map(np.concatenate, gone)
+                yield made(CUT, np.zeros(len(doc)), np.zeros(len(doc)), np.zeros(len(doc)), doc, p, c, None)
+            if same[0]:
+                d, later, doc, p, c = map(np.concatenate, same)
+                yield made(CLASS, d[:, 0], d[:, 1], later, doc, p, c, None)
 
     return rows.mapInArrow(run, PART)
 
@@ -283,14 +360,37 @@ def common_anchors(rows: DataFrame) -> np.ndarray:
 def repeat_spans(df: DataFrame) -> DataFrame:
     """(doc, a, b): spans of bytes of (doc_id, text) that repeat earlier ones; they may overlap."""
     rows = df.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = anchors(rows, common_anchors(rows)).repartition(F.coalesce("key", F.xxhash64("doc")))
+    dealt = anchors(rows, common_anchors(rows)).repartition(F.coalesce("key", F.xxhash64("doc"))).sortWithinPartitions("ha", "hs", "doc", "lo")
     verdicts = staged(judged(dealt), "verdicts")
-    whole = verdicts.where("gone").select("doc", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("b"))
-    asked = verdicts.where("not gone").groupBy("doc").agg(F.collect_list(F.struct("ha", "lo", "n", "common")).alias("segs"))
-    parts = staged(cut_out(rows.join(asked, "doc").select("doc", "text", "segs")), "parts")
-    sorted_parts = parts.where("part is not null").repartition("key").sortWithinPartitions("key")
-    later = parts.where("part is null").select("doc", F.col("lo").alias("a"), (F.col("lo") + LENGTH).alias("b"))
-    return whole.unionByName(later).unionByName(repeated(sorted_parts))
+
+    def cut(some: DataFrame) -> DataFrame:
+        asked = some.groupBy("doc").agg(F.collect_list(F.struct("what", "ha", "lo", "n")).alias("segs"))
+        return cut_out(rows.join(asked, "doc").select("doc", "text", "segs"))
+
+    def span(some: DataFrame) -> DataFrame:
+        return some.select("doc", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("b"))
+
+    def sorted_spans(some: DataFrame) -> DataFrame:
+        return repeated(some.where(F.col("kind") == TEXT).select("key", "doc", "lo", "n", "part").repartition("key").sortWithinPartitions("key"))
+
+    parts = staged(cut(verdicts), "parts")
+    first = F.row_number().over(Window.partitionBy("key", "other").orderBy("doc", "lo")) == 1
+    classes = staged(parts.where(F.col("kind") == CLASS).select("doc", "lo", "n", "later", first.alias("first")).where("later OR NOT first"), "classes")
+    out = span(parts.where(F.col("kind") == CUT)).unionByName(span(classes.where("NOT first"))).unionByName(sorted_spans(parts))
+    # a class whose hash stands for different bytes: all segments of its anchor are sorted
+    clash = classes.where("later AND first")
+    if not clash.isEmpty():
+        which = verdicts.join(clash.select("doc", "lo"), ["doc", "lo"], "left_semi").select("ha").distinct()
+        out = out.unionByName(sorted_spans(cut(verdicts.join(which, "ha", "left_semi").where(F.col("what") != GONE).withColumn("what", F.lit(SORT)))))
+    return out
+
+
+def merged_spans(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sorted spans without overlap or touch, of (a, b)."""
+    order = np.argsort(a, kind="stable")
+    a, top = a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.append(True, a[1:] > top[:-1]))
+    return np.stack([a[first], top[np.append(first[1:], len(a)) - 1]], 1)
 
 
 def merged(spans: list[dict] | None, size: int) -> np.ndarray:
@@ -301,10 +401,7 @@ def merged(spans: list[dict] | None, size: int) -> np.ndarray:
     x = x[x[:, 0] < x[:, 1]]
     if not len(x):
         return x.reshape(0, 2)
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    top = np.maximum.accumulate(x[:, 1])
-    first = np.flatnonzero(np.append(True, x[1:, 0] > top[:-1]))
-    return np.stack([x[first, 0], top[np.append(first[1:], len(x)) - 1]], 1)
+    return merged_spans(x[:, 0], x[:, 1])
 
 
 def kept_bytes(raw: bytes, spans: np.ndarray) -> bytes:

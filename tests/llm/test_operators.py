@@ -134,9 +134,12 @@ def brute_repeats():
     return out
 
 
-@pytest.mark.parametrize("common", [24, 1])
-def test_repeated_strings(docs, none, monkeypatch, common):
+@pytest.mark.parametrize("common,many,held,bits", [(24, 20_000, 1 << 18, 64), (1, 20_000, 1 << 18, 64), (24, 1, 1 << 18, 64), (24, 20_000, 2, 64), (24, 20_000, 1 << 18, 1), (1, 20_000, 1 << 18, 1)])
+def test_repeated_strings(docs, none, monkeypatch, common, many, held, bits):
     monkeypatch.setattr(repeats, "COMMON", common)  # 1: every anchor is dealt as a very common one
+    monkeypatch.setattr(repeats, "MANY", many)  # 1: so are those with several segments, after they were dealt
+    monkeypatch.setattr(repeats, "HELD", held)  # 2: tasks settle few segments at a time
+    monkeypatch.setattr(repeats, "HASH_BITS", bits)  # 1: hashes stand for different bytes
     got = {r[0]: tuple(r[1:]) for r in repeats.digests(docs).collect()}
     assert got == dict(enumerate(brute_repeats()))
     assert repeats.digests(none).count() == 0
@@ -144,6 +147,12 @@ def test_repeated_strings(docs, none, monkeypatch, common):
     assert cut[0].text is None and cut[6].text == "" and cut[5].text == LONG and cut[5].hs == "extra"
 
 
+def test_segments_are_confirmed_by_bytes():
+    again = np.array([False, True, True])
+    assert repeats.confirmed(b"ab" * 200, np.array([0, 2, 1]), np.array([3, 3, 3]), again).tolist() == [False, True, False]
+    assert repeats.confirmed(b"ab" * 200, np.array([0, 2, 4]), np.array([3, 2, 3]), again).tolist() == [False, False, True]
+
+
 def test_sentencepiece_round_trip(docs, none):
     import sentencepiece
 
