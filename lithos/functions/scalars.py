@@ -20,14 +20,15 @@ def loc_hash(text: Column) -> Column:
 def loc_slash(text: Column) -> Column:
     """Lines of code where // and block comments that begin a line do not count; code after a block's end does."""
     def step(a: Column, raw: Column) -> Column:
-        s = trimmed(raw)
-        end = F.instr(s, "*/")
-        after = trimmed(F.substring(s, end + 2, F.length(s)))
-        opens = s.startswith("/*")
-        tail = (after != "") & ~after.startswith("//")
-        closed = (a["block"] | opens) & (end > 0)
-        adds = F.when(a["block"] | opens, F.when(closed & tail, 1).otherwise(0)).when((s == "") | s.startswith("//"), 0).otherwise(1)
-        return F.struct((a["n"] + adds).cast("int").alias("n"), ((a["block"] | opens) & (end == 0)).alias("block"))
+        whole = trimmed(raw)
+        end = F.instr(whole, "*/")
+        line = F.when(~a["block"], whole).when(end > 0, trimmed(F.substring(whole, end + 2, F.length(whole)))).otherwise("")
+        tail = F.substring(line, F.lit(3), F.length(line))
+        closes = F.instr(tail, "*/")
+        opens = line.startswith("/*")
+        behind = trimmed(F.substring(tail, closes + 2, F.length(tail)))
+        adds = F.when((line == "") | line.startswith("//"), 0).when(opens, F.when((closes > 0) & (behind != ""), 1).otherwise(0)).otherwise(1)
+        return F.struct((a["n"] + adds).cast("int").alias("n"), ((a["block"] & (end == 0)) | (opens & (closes == 0))).alias("block"))
 
     return F.aggregate(F.split(text, "\\r?\\n"), F.struct(F.lit(0).alias("n"), F.lit(False).alias("block")), step)["n"]
 
@@ -81,16 +82,24 @@ def severity_rank(severity: Column) -> Column:
 
 
 def fnv_churn(path: Column) -> Column:
-    """32-bit FNV-1a of the characters, folded to 1..100."""
-    h = F.aggregate(F.filter(F.split(path, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), lambda a, c: ((a.bitwiseXOR(F.ascii(c).cast("long"))) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
-    signed = F.when(h >= 2147483648, h - F.lit(4294967296).cast("long")).otherwise(h)
+    """32-bit FNV-1a of the UTF-16 units, folded to 1..100."""
+    long = lambda x: F.lit(x).cast("long")
+    code = lambda c: F.ascii(c).cast("long")
+    pair = lambda c: F.array(long(0xD7C0) + F.shiftright(code(c), 10), long(0xDC00) + code(c).bitwiseAND(long(0x3FF)))
+    units = F.flatten(F.transform(F.filter(F.split(path, ""), lambda c: c != ""), lambda c: F.when(code(c) > 0xFFFF, pair(c)).otherwise(F.array(code(c)))))
+    h = F.aggregate(units, long(2166136261), lambda a, u: (a.bitwiseXOR(u) * long(16777619)).bitwiseAND(long(4294967295)))
+    signed = F.when(h >= 2147483648, h - long(4294967296)).otherwise(h)
     return (F.abs(signed) % 100 + 1).cast("long")
 
 
+#: Fixed value: names of modules that start programs.
+ENTRYPOINT = "(?i)(^|\\W)(scripts?|bin|cli|main|cmd|app|entrypoint)(\\W|$)"
+
+
 def module_shape(fan_in: Column, fan_out: Column, instability: Column, name: Column) -> Column:
     return (
         F.when((fan_in >= 3) & (fan_out >= 3), "dual-hub").when((fan_in >= 2) & (fan_out == 0), "stable-provider")
-        .when((fan_in == 0) & (fan_out >= 2), F.when(F.lower(name).rlike("app|main|index|server|cli"), "entrypoint").otherwise("pure-consumer"))
+        .when((fan_in == 0) & (fan_out >= 2), F.when(name.rlike(ENTRYPOINT), "entrypoint").otherwise("pure-consumer"))
         .when((fan_in >= 1) & (fan_out == 0) & (F.coalesce(instability, F.lit(1.0)) <= 0.2), "leaf")
     )
 

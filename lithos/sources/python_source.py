@@ -11,35 +11,71 @@ from pyspark.sql import functions as F
 
 from lithos.functions.scalars import loc_hash
 
-NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Match)
-DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
 PLAIN_NUMBERS = (0, 1, -1, 2, 10, 100, 1000)
 
 
+def is_elif(node: ast.AST, parent: ast.If) -> bool:
+    """An elif starts in its if's column, an if under else further right."""
+    return isinstance(node, ast.If) and len(parent.orelse) == 1 and node.col_offset == parent.col_offset
+
+
 def complexity(body: list[ast.stmt]) -> tuple[int, int, int]:
-    """Cyclomatic and cognitive complexity and nesting depth of a body."""
+    """Cyclomatic and cognitive complexity and nesting depth of a body (SCL-04).
+
+    Branches: if, elif, for, while, except, conditional expressions, assert, match
+    and its cases; levels: if, elif, else, for, while, try, with, match. All elifs
+    and the else of an if are one level below it.
+    """
     cyc, cog, deepest = 1, 0, 0
-    todo: list[tuple[ast.AST, int]] = [(n, 0) for n in reversed(body)]
+    todo: list[tuple[ast.AST, int]] = [(n, 0) for n in body]
+
+    def below(nodes: list, depth: int) -> None:
+        nonlocal deepest
+        deepest = max(deepest, depth)
+        todo.extend((n, depth) for n in nodes)
+
     while todo:
         node, depth = todo.pop()
-        if isinstance(node, DECISIONS):
+        if isinstance(node, ast.If):
+            cyc, cog = cyc + 1, cog + 1 + depth
+            below([node.test, *node.body], depth + 1)
+            last = node
+            while last.orelse and is_elif(last.orelse[0], last):
+                last = last.orelse[0]
+                cyc, cog = cyc + 1, cog + 2 + depth
+                below([last.test, *last.body], depth + 2)
+            if last.orelse:
+                below(last.orelse, depth + 2)
+            continue
+        if isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
             cyc, cog = cyc + 1, cog + 1 + depth
-        if isinstance(node, ast.BoolOp):
-            cyc, cog = cyc + len(node.values) - 1, cog + len(node.values) - 1
-        if isinstance(node, ast.comprehension):
-            cyc, cog = cyc + len(node.ifs), cog + len(node.ifs) * (1 + depth)
-        inner = depth + isinstance(node, NESTING)
-        deepest = max(deepest, inner)
-        todo += [(c, inner) for c in ast.iter_child_nodes(node)]
+            below([n for n in ast.iter_child_nodes(node) if n not in node.orelse], depth + 1)
+            if node.orelse:
+                below(node.orelse, depth + 2)
+        elif isinstance(node, (ast.Try, ast.TryStar)):
+            below([*node.body, *node.handlers, *node.finalbody], depth + 1)
+            if node.orelse:
+                below(node.orelse, depth + 2)
+        else:
+            if isinstance(node, (ast.ExceptHandler, ast.IfExp, ast.Assert, ast.match_case, ast.Match)):
+                cyc, cog = cyc + 1, cog + 1 + depth
+            elif isinstance(node, ast.BoolOp):
+                cyc, cog = cyc + len(node.values) - 1, cog + len(node.values) - 1
+            elif isinstance(node, ast.comprehension):
+                cyc, cog = cyc + len(node.ifs), cog + len(node.ifs) * (1 + depth)
+            if isinstance(node, (ast.With, ast.AsyncWith, ast.Match)):
+                below(list(ast.iter_child_nodes(node)), depth + 1)
+            else:
+                todo += [(c, depth) for c in ast.iter_child_nodes(node)]
     return cyc, cog, deepest
 
 
 def branches(node: ast.AST) -> int:
-    """Ways of a match, or of an if with its elifs; an elif starts in its if's column, an if under else further right."""
+    """Ways of a match, or of an if with its elifs."""
     if isinstance(node, ast.Match):
         return len(node.cases)
     ways = 1
-    while len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If) and node.orelse[0].col_offset == node.col_offset:
+    while node.orelse and is_elif(node.orelse[0], node):
         ways, node = ways + 1, node.orelse[0]
     return ways
 
@@ -55,7 +91,7 @@ def unit_facts(fn: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) ->
         "kind": "method" if owner else "function", "class_name": owner, "name": fn.name, "start": fn.lineno, "end": fn.end_lineno, "complexity": cyc, "cognitive": cog, "max_depth": depth,
         "params": len(args), "annotated": sum(a.annotation is not None for a in args), "empty_catches": sum(isinstance(n, ast.ExceptHandler) and all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and s.value.value is ... for s in n.body) for n in walk),
         "magic_numbers": sum(isinstance(n, ast.Constant) and type(n.value) in (int, float) and n.value not in PLAIN_NUMBERS and id(n) not in defaults for n in walk),
-        "boolean_operators": max((sum(len(b.values) - 1 for b in ast.walk(c) if isinstance(b, ast.BoolOp)) for c in conditions), default=0), "largest_match": max((len(n.cases) for n in walk if isinstance(n, ast.Match)), default=0),
+        "boolean_operators": max((sum(len(b.values) - 1 for b in ast.walk(c) if isinstance(b, ast.BoolOp)) for c in conditions), default=0), "largest_match": max((branches(n) for n in walk if isinstance(n, (ast.Match, ast.If)) and id(n) not in elifs), default=0),
         "branches": [branches(n) for n in walk if isinstance(n, (ast.Match, ast.If)) and id(n) not in elifs],
     }
 
