@@ -39,6 +39,22 @@ def cohesion(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("from_id").alias("module_id")).agg(inner.alias("internal"), (F.count(F.lit(1)) - inner).alias("external")).withColumn("ratio", F.try_divide("internal", F.col("internal") + F.col("external")))
 
 
+def module_links(modules: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``coupling`` with the cohesion ratio, in one pass over pairs that stand for ``n`` edges each."""
+    other = (F.col("from_id") != F.col("to_id")).cast("int")
+    side = lambda m, i, o, inner, every: F.struct(m.alias("module_id"), i.alias("i"), o.alias("o"), inner.alias("inner"), every.alias("every"))
+    zero = F.lit(0).cast("long")
+    ends = pairs.select(F.explode(F.array(side(F.col("from_id"), F.lit(0), other, F.when(other == 0, F.col("n")).otherwise(zero), F.col("n")), side(F.col("to_id"), other, F.lit(0), zero, zero))).alias("e")).select("e.*")
+    sums = ends.groupBy("module_id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"), F.sum("inner").alias("inner"), F.sum("every").alias("every"))
+    out = modules.join(sums, "module_id", "left").withColumns({"fan_in": F.coalesce("fan_in", F.lit(0)), "fan_out": F.coalesce("fan_out", F.lit(0)), "ratio": F.try_divide("inner", "every")}).drop("inner", "every")
+    return out.withColumn("instability", F.try_divide("fan_out", F.col("fan_in") + F.col("fan_out")))
+
+
+def counted_histogram(counts: DataFrame, *by: str) -> DataFrame:
+    """The histogram from counts (``n``) by rule and severity."""
+    return counts.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0)).alias(s) for s in SEVERITY_COST])
+
+
 def severity_histogram(findings: DataFrame, *by: str) -> DataFrame:
     return findings.groupBy(*by).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_COST])
 
@@ -64,12 +80,12 @@ def overall(parts: dict[str, Column], noted: dict[str, Column], w: Weights = Wei
     return F.when(low > 0, top / low).otherwise(0.0)
 
 
-def module_scorecard(units: DataFrame, modules: DataFrame, edges: DataFrame, findings: DataFrame, in_cycle: DataFrame) -> DataFrame:
-    """AGG-12: five scores, the overall score and grade of each module."""
+def module_scorecard(units: DataFrame, modules: DataFrame, edges: DataFrame, histogram: DataFrame, in_cycle: DataFrame) -> DataFrame:
+    """AGG-12: five scores, the overall score and grade of each module; edges are one for each pair of modules."""
     size = units.groupBy("module_id").agg(F.sum("loc").alias("loc"), F.avg("complexity").alias("avg_cx"), F.sum(F.greatest(F.col("complexity") - 10, F.lit(0))).alias("excess"), F.count(F.lit(1)).alias("functions"))
     facts = (
-        coupling(modules, edges).join(size, "module_id", "left").join(cohesion(edges).select("module_id", "ratio"), "module_id", "left")
-        .join(severity_histogram(findings, "module_id"), "module_id", "left").join(in_cycle.withColumn("cyc", F.lit(1)), "module_id", "left")
+        module_links(modules, edges.withColumn("n", F.lit(1).cast("long"))).join(size, "module_id", "left")
+        .join(histogram, "module_id", "left").join(in_cycle.withColumn("cyc", F.lit(1)), "module_id", "left")
         .fillna(0, ["loc", "excess", "functions", "cyc", *SEVERITY_COST])
     )
     zero = F.lit(0.0)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.config import Thresholds
+from lithos.config import SEVERITIES, Thresholds
 from lithos.functions.scalars import clone_severity
 
 
@@ -63,6 +63,34 @@ def fire_all(grains: dict[str, DataFrame], chosen: list[Rule]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def fire_counts(grains: dict[str, DataFrame], chosen: list[Rule]) -> DataFrame:
+    """(module_id, rule_id, severity, n): how often each rule fires, as conditional sums in one pass a grain; no finding is made."""
+    out = []
+    for grain, facts in grains.items():
+        cells = [(r, s) for r in chosen if r.grain == grain for s in SEVERITIES if f"'{s}'" in r.severity]
+        if cells:
+            sums = facts.groupBy("module_id").agg(*[F.count_if(F.expr(f"({r.fires}) AND ({r.severity}) = '{s}'")).alias(f"c{k}") for k, (r, s) in enumerate(cells)])
+            each = F.array(*[F.struct(F.lit(r.name).alias("rule_id"), F.lit(s).alias("severity"), F.col(f"c{k}").alias("n")) for k, (r, s) in enumerate(cells)])
+            out.append(sums.select("module_id", F.explode(each).alias("c")).select("module_id", "c.*").where("n > 0"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def first_groups(counts: DataFrame, order: list[Column], most: int) -> list[tuple[str, str]]:
+    """The (rule_id, severity) groups that hold the first ``most`` findings in an order that begins with these columns."""
+    taken, left = [], most
+    for r in counts.groupBy("rule_id", "severity").agg(F.sum("n").alias("n")).orderBy(*order).collect():  # a row for each rule and severity
+        if left <= 0:
+            break
+        taken.append((r["rule_id"], r["severity"]))
+        left -= r["n"]
+    return taken
+
+
+def only(chosen: list[Rule], groups: list[tuple[str, str]]) -> list[Rule]:
+    """The rules, cut down to some of their severities."""
+    return [Rule(r.name, r.grain, f"({r.fires}) AND ({r.severity}) IN ({', '.join(repr(s) for n, s in groups if n == r.name)})", r.severity) for r in chosen if r.name in {n for n, _ in groups}]
+
+
 def text_line_rule(files: DataFrame, pattern: str, least: int, rule_id: str, low: str, high: str) -> DataFrame:
     """RUL-14: files with enough lines that match a pattern."""
     hits = F.size(F.filter(F.split("text", "\\r?\\n"), lambda line: line.rlike(pattern)))

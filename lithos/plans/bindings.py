@@ -36,8 +36,8 @@ CLASSES = UNITS + """, classes AS (SELECT module_id, class_id, CAST(sum(loc) AS
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Module edges: large, undiscounted orders from a customer's nation to a supplier's."""
-    li = table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount = 0").select("l_orderkey", "l_suppkey")
+    """Module edges: every line item, from its customer's nation to its supplier's."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
@@ -47,7 +47,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 EDGES = """edges AS (SELECT 'mod_' || CAST(c_nationkey AS VARCHAR) AS from_id, 'mod_' || CAST(s_nationkey AS VARCHAR) AS to_id, o_orderpriority AS kind, CAST(1 AS BIGINT) AS weight
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount = 0)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 def pair_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +57,11 @@ def pair_edges(spark: SparkSession, d: str) -> DataFrame:
 PAIRS = EDGES + """, pairs AS (SELECT from_id, to_id, CAST(sum(weight) AS BIGINT) AS weight, min(kind) AS kind FROM edges GROUP BY ALL)"""
 
 
+def pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with ``n``, how many edges each stands for."""
+    return edges(spark, d).groupBy("from_id", "to_id").agg(F.sum("weight").alias("weight"), F.min("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
+
+
 def modules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(F.concat(F.lit("mod_"), F.col("n_nationkey").cast("string")).alias("module_id"), F.col("n_name").alias("name"))
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lithos.config import RULES
 from lithos.functions import naming
 from lithos.functions.scalars import severity_rank
-from lithos.operators import resolution
+from lithos.operators import resolution, rules
 from lithos.plans.bindings import table
-from lithos.plans.queries import CATALOG, FINDINGS, RANK, findings, rule_catalog
+from lithos.plans.queries import CATALOG, CHOSEN, FINDINGS, RANK, counts, findings, rule_catalog
 from lithos.plans.registry import query
 
 URL_PATH = r"regexp_replace(regexp_replace(url, '^https?://[^/]*/?', ''), '[?#].*$', '')"
@@ -99,7 +99,9 @@ def bean_resolution(spark, d):
 def mitigations(spark, d):
     """JOI-15, SRT-03: findings of related rules by severity; a limit is the feature."""
     related = rule_catalog(spark, d).where("category IN ('design', 'coupling')").select("rule_id", "category")
-    rows = findings(spark, d).join(F.broadcast(related), "rule_id")  # 31 fixed rows at most
+    order = [severity_rank(F.col("severity")), F.col("rule_id")]
+    own = rules.only(CHOSEN, rules.first_groups(counts(spark, d).join(F.broadcast(related), "rule_id"), order, 5))  # 31 fixed rows at most
+    rows = (findings(spark, d, own) if own else findings(spark, d).where("false")).join(F.broadcast(related), "rule_id")
     return rows.select("rule_id", "severity", "subject", "category").orderBy(severity_rank(F.col("severity")), "rule_id", "subject").limit(5)
 
 
@@ -109,4 +111,4 @@ STEPS = [(k, f"reduce {c}", [r for r, own, *_ in RULES if own == c]) for k, c in
 @query("playbook_steps", f"WITH {FINDINGS}, s(place, step, triggers) AS (VALUES " + ", ".join(f"({k}, '{s}', {t})" for k, s, t in STEPS) + ") SELECT place, step, EXISTS (SELECT 1 FROM findings f WHERE list_contains(triggers, f.rule_id)) AS relevant FROM s ORDER BY relevant DESC, place LIMIT 3")
 def playbook_steps(spark, d):
     """JOI-18, SRT-09."""
-    return resolution.relevant_steps(spark.createDataFrame(STEPS, "place int, step string, triggers array<string>"), findings(spark, d))
+    return resolution.relevant_steps(spark.createDataFrame(STEPS, "place int, step string, triggers array<string>"), counts(spark, d))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lithos.config import RULES, SEVERITY_COST
 from lithos.functions import scalars as sc
 from lithos.operators import graph, metrics, rules
-from lithos.plans.bindings import CLASSES, EDGES, MODULES, PAIRS, UNITS, classes, edges, modules, pair_edges, table, units
+from lithos.plans.bindings import CLASSES, EDGES, MODULES, PAIRS, UNITS, classes, edges, modules, pair_counts, pair_edges, table, units
 from lithos.plans.registry import query
+from lithos.sources.files import PRUNED
 
 RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END"
 
@@ -21,9 +22,16 @@ def loc_count(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), sc.loc_hash(F.col("text")).alias("loc"))
 
 
-@query("loc_slash")
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_LINE = "(CASE WHEN NOT a.block THEN x.line WHEN instr(x.line, '*/') > 0 THEN " + _TRIM.format("substr(x.line, instr(x.line, '*/') + 2)") + " ELSE '' END)"
+_TAIL = f"substr({_LINE}, 3)"
+LOC_SLASH = f"""SELECT page_id AS file_id, list_reduce(list_transform(regexp_split_to_array(html, '\\r?\\n'), lambda s: {{'n': 0, 'block': false, 'line': {_TRIM.format("s")}}}), lambda a, x: {{
+ 'n': a.n + CASE WHEN {_LINE} = '' OR starts_with({_LINE}, '//') THEN 0 WHEN starts_with({_LINE}, '/*') THEN CASE WHEN instr({_TAIL}, '*/') > 0 AND {_TRIM.format(f"substr({_TAIL}, instr({_TAIL}, '*/') + 2)")} <> '' THEN 1 ELSE 0 END ELSE 1 END,
+ 'block': (a.block AND instr(x.line, '*/') = 0) OR (starts_with({_LINE}, '/*') AND instr({_TAIL}, '*/') = 0), 'line': ''}}, {{'n': 0, 'block': false, 'line': ''}}).n AS loc FROM pages"""
+
+
+@query("loc_slash", LOC_SLASH)
 def loc_slash(spark, d):
-    """Block comments need a fold over lines; compared with a plain loop in the tests."""
     return table(spark, d, "pages").select(F.col("page_id").alias("file_id"), sc.loc_slash(F.col("html")).alias("loc"))
 
 
@@ -43,9 +51,13 @@ def grade_web(spark, d):
     return table(spark, d, "part").select("p_partkey", g.alias("grade")).withColumn("label", sc.grade_label(F.col("grade")))
 
 
-@query("fnv_churn")
+FNV = """WITH u AS (SELECT page_id, flatten(list_transform(string_split(url, ''), lambda c: CASE WHEN c = '' THEN [] WHEN unicode(c) > 65535 THEN [CAST(55232 + (unicode(c) >> 10) AS BIGINT), CAST(56320 + (unicode(c) & 1023) AS BIGINT)] ELSE [CAST(unicode(c) AS BIGINT)] END)) AS c FROM pages),
+h AS (SELECT page_id, list_reduce(c, lambda h, x: (xor(h, x) * CAST(16777619 AS BIGINT)) & CAST(4294967295 AS BIGINT), CAST(2166136261 AS BIGINT)) AS h FROM u)
+SELECT page_id, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 100 + 1 AS BIGINT) AS churn FROM h"""
+
+
+@query("fnv_churn", FNV)
 def fnv_churn(spark, d):
-    """Compared with a plain loop in the tests."""
     return table(spark, d, "pages").select("page_id", sc.fnv_churn(F.col("url")).alias("churn"))
 
 
@@ -129,7 +141,7 @@ def fan_in_out(spark, d):
 
 
 @query("module_shape", f"""WITH {FAN} SELECT module_id, CASE WHEN fan_in >= 3 AND fan_out >= 3 THEN 'dual-hub' WHEN fan_in >= 2 AND fan_out = 0 THEN 'stable-provider'
- WHEN fan_in = 0 AND fan_out >= 2 THEN CASE WHEN regexp_matches(lower(name), 'app|main|index|server|cli') THEN 'entrypoint' ELSE 'pure-consumer' END
+ WHEN fan_in = 0 AND fan_out >= 2 THEN CASE WHEN regexp_matches(name, '(?i)(^|\\W)(scripts?|bin|cli|main|cmd|app|entrypoint)(\\W|$)') THEN 'entrypoint' ELSE 'pure-consumer' END
  WHEN fan_in >= 1 AND fan_out = 0 AND coalesce(instability, 1.0) <= 0.2 THEN 'leaf' END AS shape FROM coup""")
 def module_shape(spark, d):
     c = metrics.coupling(modules(spark, d), pair_edges(spark, d))
@@ -230,8 +242,9 @@ MODULE_FACTS = f"{UNITS}, {FAN}, sizes AS (SELECT module_id, count(DISTINCT file
 
 
 def module_facts(spark, d):
-    s = units(spark, d).groupBy("module_id").agg(F.countDistinct("file_id").alias("files"), F.sum("loc").alias("loc"))
-    return metrics.coupling(modules(spark, d), pair_edges(spark, d)).join(s, "module_id", "left").join(metrics.cohesion(edges(spark, d)).select("module_id", "ratio"), "module_id", "left")
+    by_file = units(spark, d).groupBy("module_id", "file_id").agg(F.sum("loc").alias("loc"))
+    s = by_file.groupBy("module_id").agg(F.count(F.lit(1)).alias("files"), F.sum("loc").alias("loc"))
+    return metrics.module_links(modules(spark, d), pair_counts(spark, d)).join(s, "module_id", "left")
 
 
 def binaries(spark, d):
@@ -245,8 +258,18 @@ for _rule in CHOSEN:
     query("rule_" + _rule.name.replace("-", "_"), f"WITH {_cte} SELECT {', '.join(rules.KEY[_rule.grain])}, '{_rule.name}' AS rule_id, {_rule.severity} AS severity FROM {_name} WHERE {_rule.fires}")(lambda spark, d, facts=_facts, rule=_rule: rules.fire(facts(spark, d), rule))
 
 
-def findings(spark, d):
-    return rules.fire_all({"unit": units(spark, d), "class": classes(spark, d), "module": module_facts(spark, d)}, CHOSEN)
+def grains(spark, d):
+    return {"unit": units(spark, d), "class": classes(spark, d), "module": module_facts(spark, d)}
+
+
+def findings(spark, d, chosen=CHOSEN):
+    """Findings of the chosen rules; only the grains that they are about are read."""
+    facts = {"unit": units, "class": classes, "module": module_facts}
+    return rules.fire_all({g: f(spark, d) for g, f in facts.items() if any(r.grain == g for r in chosen)}, chosen)
+
+
+def counts(spark, d):
+    return rules.fire_counts(grains(spark, d), CHOSEN)
 
 
 def _union(grain, cte):
@@ -259,7 +282,7 @@ FINDINGS = f"{CLASSES}, {MODULE_FACTS.removeprefix(UNITS + ', ')}, findings AS (
 
 @query("rules_union", f"WITH {FINDINGS} SELECT rule_id, severity, count(*) AS n FROM findings GROUP BY ALL")
 def rules_union(spark, d):
-    return findings(spark, d).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return counts(spark, d).groupBy("rule_id", "severity").agg(F.sum("n").alias("n"))
 
 
 HIST = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in SEVERITY_COST)
@@ -267,13 +290,16 @@ HIST = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in SEV
 
 @query("severity_histogram", f"WITH {FINDINGS} SELECT module_id, {HIST} FROM findings GROUP BY module_id")
 def severity_histogram(spark, d):
-    return metrics.severity_histogram(findings(spark, d), "module_id")
+    return metrics.counted_histogram(counts(spark, d), "module_id")
+
+
+MARKERS = "(^|[^A-Za-z0-9_])(TODO|FIXME|HACK|XXX)([^A-Za-z0-9_]|$)"
 
 
-@query("marker_lines", r"SELECT doc_id AS file_id, CAST(len(list_filter(regexp_split_to_array(text, '\r?\n'), lambda s: regexp_matches(s, '(^|[^A-Za-z0-9_])(the|der|la)([^A-Za-z0-9_]|$)'))) AS INTEGER) AS hits, 'todo-accumulation' AS rule_id, CASE WHEN len(list_filter(regexp_split_to_array(text, '\r?\n'), lambda s: regexp_matches(s, '(^|[^A-Za-z0-9_])(the|der|la)([^A-Za-z0-9_]|$)'))) >= 15 THEN 'minor' ELSE 'info' END AS severity FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\r?\n'), lambda s: regexp_matches(s, '(^|[^A-Za-z0-9_])(the|der|la)([^A-Za-z0-9_]|$)'))) >= 5")
+@query("marker_lines", rf"WITH x AS (SELECT doc_id AS file_id, len(list_filter(regexp_split_to_array(text, '\r?\n'), lambda s: regexp_matches(s, '{MARKERS}'))) AS hits FROM documents) SELECT file_id, CAST(hits AS INTEGER) AS hits, 'todo-accumulation' AS rule_id, CASE WHEN hits >= 15 THEN 'minor' ELSE 'info' END AS severity FROM x WHERE hits >= 5")
 def marker_lines(spark, d):
     files = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
-    return rules.text_line_rule(files, "(^|[^A-Za-z0-9_])(the|der|la)([^A-Za-z0-9_]|$)", 5, "todo-accumulation", "info", "minor")
+    return rules.text_line_rule(files, MARKERS, 5, "todo-accumulation", "info", "minor")
 
 
 @query("missing_required", "WITH req AS (SELECT DISTINCT o_custkey AS repo, p AS name FROM orders, (VALUES ('1-URGENT'), ('5-LOW')) v(p)) SELECT repo, name AS rule_id FROM req WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = repo AND o_orderpriority = name)")
@@ -286,12 +312,12 @@ def missing_required(spark, d):
 # ---- joins -----------------------------------------------------------------
 
 
-@query("longest_prefix", r"""WITH x AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages), idx AS (SELECT DISTINCT regexp_extract(u, '^[^/?#]+(/[^/?#]+)?', 0) AS p FROM x WHERE page_id % 3 = 0)
-SELECT page_id, arg_max(p, length(p)) AS target FROM x JOIN idx ON u = p OR starts_with(u, p || '/') GROUP BY page_id""")
+@query("longest_prefix", r"""WITH x AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages), idx AS (SELECT DISTINCT regexp_extract(u, '^[^/?#]+(/[^/?#]+)?', 0) AS p FROM x)
+SELECT page_id, arg_max(p, length(p)) AS target FROM (SELECT page_id, array_to_string(list_slice(string_split(u, '/'), 1, k), '/') AS p FROM (SELECT page_id, u, unnest(range(1, len(string_split(u, '/')) + 1)) AS k FROM x)) JOIN idx USING (p) GROUP BY page_id""")
 def longest_prefix(spark, d):
     """JOI-01/04: each path explodes into its prefixes, which meet the index by equality; the longest stays."""
     x = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("u"))
-    idx = x.where("page_id % 3 = 0").select(F.regexp_extract("u", "^[^/?#]+(/[^/?#]+)?", 0).alias("p")).distinct()
+    idx = x.select(F.regexp_extract("u", "^[^/?#]+(/[^/?#]+)?", 0).alias("p")).distinct()
     parts = F.split("u", "/")
     prefixes = x.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("p"))
     return prefixes.join(idx, "p").groupBy("page_id").agg(F.max_by("p", F.length("p")).alias("target"))
@@ -321,8 +347,7 @@ def rule_catalog(spark, d):
 
 @query("catalog_enrich", f"WITH {FINDINGS}, {CATALOG} SELECT category, severity, count(*) AS n FROM findings LEFT JOIN catalog USING (rule_id) GROUP BY ALL")
 def catalog_enrich(spark, d):
-    counts = findings(spark, d).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(rule_catalog(spark, d)), "rule_id", "left").groupBy("category", "severity").agg(F.sum("n").alias("n"))  # 31 fixed rows
+    return counts(spark, d).join(F.broadcast(rule_catalog(spark, d)), "rule_id", "left").groupBy("category", "severity").agg(F.sum("n").alias("n"))  # 31 fixed rows
 
 
 @query("name_lookup", f"WITH {PAIRS}, {MODULES} SELECT coalesce(a.name, from_id) AS from_name, coalesce(b.name, to_id) AS to_name, kind, weight FROM pairs LEFT JOIN modules a ON from_id = a.module_id LEFT JOIN modules b ON to_id = b.module_id")
@@ -377,7 +402,12 @@ def budget_cutoff(spark, d):
 
 @query("top_smells", f"WITH {FINDINGS} SELECT rule_id, severity, subject FROM findings ORDER BY {RANK}, rule_id, subject LIMIT 20")
 def top_smells(spark, d):
-    return findings(spark, d).orderBy(sc.severity_rank(F.col("severity")), "rule_id", "subject").limit(20).select("rule_id", "severity", "subject")
+    """Subjects are made for the rules and severities alone that hold the first twenty findings."""
+    order = [sc.severity_rank(F.col("severity")), F.col("rule_id")]
+    own = rules.only(CHOSEN, rules.first_groups(counts(spark, d), order, 20))
+    if not own:
+        return findings(spark, d).where("false").select("rule_id", "severity", "subject")
+    return findings(spark, d, own).orderBy(*order, "subject").limit(20).select("rule_id", "severity", "subject")
 
 
 @query("offenders", f"WITH {MODULE_FACTS}, m AS (SELECT 'cohesion' AS metric, module_id, ratio AS rank FROM module_facts WHERE ratio IS NOT NULL UNION ALL SELECT 'coupling', module_id, -(fan_in * fan_out) - fan_out FROM module_facts UNION ALL SELECT 'size', module_id, -loc FROM module_facts WHERE loc IS NOT NULL) SELECT metric, module_id FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY rank, module_id) AS r FROM m) WHERE r <= 3")
@@ -444,7 +474,7 @@ def cycle_edges(spark, d):
 
 @query("shortest_cycle")
 def shortest_cycle(spark, d):
-    """Compared with a search over all closed walks in the tests."""
+    """Compared with powers of the adjacency matrix of random graphs in the tests."""
     return graph.cycle_paths(edges(spark, d).withColumn("graph", F.lit("g"))).drop("graph")
 
 
@@ -475,7 +505,7 @@ SELECT module_id, floor(complexity * 100 + 0.5) / 100 AS complexity, 100.0::DOUB
 @query("module_scorecard", CARD)
 def module_scorecard(spark, d):
     cyc = labels(spark, d).where("cyclic").select(F.col("node").alias("module_id"))
-    return metrics.module_scorecard(units(spark, d), modules(spark, d), pair_edges(spark, d), findings(spark, d), cyc)
+    return metrics.module_scorecard(units(spark, d), modules(spark, d), pair_edges(spark, d), metrics.counted_histogram(counts(spark, d), "module_id"), cyc)
 
 
 # ---- events ----------------------------------------------------------------
@@ -501,7 +531,7 @@ def clone_pairs(spark, d):
 PATHS = "x AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || CASE page_id % 6 WHEN 0 THEN '/a.py' WHEN 1 THEN '/test_a.py' WHEN 2 THEN '/a.ts' WHEN 3 THEN '/node_modules/a.js' WHEN 4 THEN '/a.d.ts' ELSE '/A.java' END AS path FROM pages)"
 
 
-@query("language_scan", f"WITH {PATHS} SELECT language, count(*) AS files FROM (SELECT CASE lower(regexp_extract(path, '([.][A-Za-z]+)$', 1)) WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.js' THEN 'javascript' WHEN '.java' THEN 'java' END AS language FROM x WHERE path NOT LIKE '%/node_modules/%') WHERE language IS NOT NULL GROUP BY language")
+@query("language_scan", f"WITH {PATHS} SELECT language, count(*) AS files FROM (SELECT CASE lower(regexp_extract(path, '([.][A-Za-z]+)$', 1)) WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.js' THEN 'javascript' WHEN '.java' THEN 'java' END AS language FROM x WHERE NOT list_has_any(string_split(path, '/'), {PRUNED})) WHERE language IS NOT NULL GROUP BY language")
 def language_scan(spark, d):
     from lithos.sources import files
 
@@ -512,7 +542,8 @@ def language_scan(spark, d):
 
 @query("report_summary", f"WITH {FINDINGS} SELECT count(DISTINCT module_id) AS modules, count(*) AS findings, {HIST} FROM findings")
 def report_summary(spark, d):
-    return findings(spark, d).agg(F.countDistinct("module_id").alias("modules"), F.count(F.lit(1)).alias("findings"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_COST])
+    sums = [F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0)).alias(s) for s in SEVERITY_COST]
+    return counts(spark, d).agg(F.countDistinct("module_id").alias("modules"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), *sums)
 
 
 @query("module_detail", f"WITH {UNITS} SELECT file_id, count(*) AS functions, CAST(sum(complexity) AS BIGINT) AS complexity FROM units WHERE module_id = 'mod_3' GROUP BY file_id")

@@ -2,7 +2,9 @@
 
 import pytest
 
-from lithos.sources import braces, java_source, script_source
+from pyspark.sql import functions as F
+
+from lithos.sources import braces, files, java_source, node_resolution, python_source, script_source
 
 SCRIPT = '''import express, { Router } from "express";
 import type { User } from './types';
@@ -148,3 +150,61 @@ def test_beans_and_their_rules(spark):
     assert sorted((r.from_id, r.to_id, r.weight) for r in java_source.module_edges(found).collect()) == [("mod_c", "mod_s", 1), ("mod_r", "mod_s", 1), ("mod_s", "mod_r", 1)]
     tags = {r.name: r.t for r in found.where("what = 'type'").select("name", java_source.layer_tags(found.marks).alias("t")).collect()}
     assert tags["PetService"] == ["layer:service", "spring:Service"] and tags["Plain"] == []
+
+
+FILES = ["packages/api/package.json", "packages/api/src/index.ts", "packages/api/src/users/a.ts", "packages/api/src/orders/deep/b.ts", "packages/api/src/orders/deep/more/c.tsx", "packages/ui/package.json", "packages/ui/button.js", "tools/ui/package.json", "tools/ui/src/x.mts", "packages/node_modules/package.json", ".hidden/package.json", "package.json", "src/app/main.ts", "src/app/lib/index.tsx", "top.ts"]
+
+
+def test_workspaces_modules_and_imports(spark):
+    paths = spark.createDataFrame([(p,) for p in FILES], "path string")
+    names = spark.createDataFrame([("packages/api", "@my/api")], "workspace string, package string")
+    spaces = node_resolution.workspaces(paths, ["packages/*", "tools/**", "!packages/ui"], names)
+    assert [tuple(r) for r in spaces.collect()] == [("packages/api", "@my/api", "mod_api", "api"), ("packages/ui", "ui", "mod_packages_ui", "packages/ui"), ("tools/ui", "ui", "mod_tools_ui", "tools/ui")]
+    assert {r.workspace for r in node_resolution.workspaces(paths, None).collect()} == {"packages/api", "packages/ui", "tools/ui"}
+    assert node_resolution.workspaces(paths.where("path like 'tools%'"), None).count() == 0
+    got = {r.path: (r.module_id, r.module) for r in node_resolution.modules_of(paths, spaces).collect()}
+    assert len(got) == len(FILES)
+    assert got["packages/api/src/index.ts"] == ("mod_api", "api") and got["packages/api/src/users/a.ts"] == ("mod_api_users", "api/users")
+    assert got["packages/api/src/orders/deep/b.ts"] == got["packages/api/src/orders/deep/more/c.tsx"] == ("mod_api_orders_deep", "api/orders/deep")
+    assert got["packages/ui/button.js"] == ("mod_packages_ui", "packages/ui") and got["src/app/main.ts"] == ("mod_app", "app") and got["top.ts"] == ("mod__root", "_root")
+    config = node_resolution.read_config({"tsconfig.json": '{ // paths\n "compilerOptions": {"baseUrl": "./src", "paths": {"@app/*": ["app/lost/*", "app/*"], "lib": ["app/lib"],}} }'})
+    assert config == {"base": "src", "paths": {"@app/*": ["app/lost/*", "app/*"], "lib": ["app/lib"]}}
+    asked = [("packages/api/src/users/a.ts", "../index", "packages/api/src/index.ts"), ("packages/api/src/users/a.ts", "../orders/deep/b.js", "packages/api/src/orders/deep/b.ts"), ("top.ts", "@app/main", "src/app/main.ts"), ("top.ts", "lib", "src/app/lib/index.tsx"), ("top.ts", "@my/api", "packages/api/src/index.ts"), ("top.ts", "@my/api/users/a", "packages/api/src/users/a.ts"), ("top.ts", "ui/x.mjs", None), ("tools/ui/src/x.mts", "./x.mjs", "tools/ui/src/x.mts"), ("top.ts", "express", None), ("top.ts", "/abs", None), ("top.ts", "./src/app/lib", "src/app/lib/index.tsx")]
+    imports = spark.createDataFrame([(k, f, s) for k, (f, s, _) in enumerate(asked)], "id int, file string, source string")
+    found = {r.id: r.target for r in node_resolution.resolve_imports(imports, paths, spaces, config).collect()}
+    assert [found.get(k) for k in range(len(asked))] == [t for *_, t in asked]
+
+
+def test_module_of_dotted(spark):
+    rows = [("routers.users", None, "routers"), ("app.api.endpoints", "app", "api"), ("app", "app", "app"), ("src.myapp", "src.myapp", "myapp"), ("apple.x", "app", "apple")]
+    got = spark.createDataFrame(rows, "d string, w string, want string").select(node_resolution.module_of_dotted(F.col("d"), F.col("w")).alias("m"), "want").collect()
+    assert all(r.m == r.want for r in got)
+
+
+def test_scans_and_hygiene(spark):
+    rows = [("r1", "README.md", None, 5), ("r1", ".github/workflows/ci.yml", None, 5), ("r1", "pyproject.toml", "[tool.ruff]", 5), ("r1", "uv.lock", None, 5), ("r1", "img/a.PNG", None, 3 << 20), ("r1", "dist/b.png", None, 3 << 20), ("r1", "img/c.txt", None, 3 << 20), ("r1", "x.zip", None, 11 << 20),
+            ("r2", "package.json", None, 5), ("r2", ".github/other.md", None, 5), ("r2", "setup.cfg", "[metadata]", 5), ("r2", "docs/README.md", None, 5), ("r3", "pyproject.toml", "[project]", 5), ("r3", "Jenkinsfile", None, 1), ("r3", "README", None, 1)]
+    df = spark.createDataFrame(rows, "repo string, path string, text string, bytes long")
+    got = sorted((r.repo, r.rule_id, r.severity, r.file) for r in files.hygiene(df).collect())
+    assert got == [("r2", "missing-ci", "info", ".github/workflows/"), ("r2", "missing-linter-config", "info", "package.json"), ("r2", "missing-lockfile", "minor", "package.json"), ("r2", "missing-readme", "info", "README.md"), ("r3", "missing-linter-config", "info", "pyproject.toml"), ("r3", "missing-lockfile", "minor", "pyproject.toml")]
+    assert sorted((r.file, r.severity) for r in files.large_binaries(df, 2 << 20).collect()) == [("img/a.PNG", "minor"), ("x.zip", "major")]
+    names = ["a.py", "tests/b.py", "test_c.py", "d_test.py", "conftest.py", "pkg/e.py", "f.ts", "g.d.ts", "h.spec.ts", "h.spec.tsx", "public/i.js", ".x/j.ts", "k.mjs", "coverage/l.js", "A.java", "target/B.java", ".mvn/C.java", "gen/D.java", "out/m.js", "n.JSX"]
+    paths = spark.createDataFrame([(n,) for n in names], "path string")
+    assert [r.path for r in files.python_files(paths).collect()] == ["a.py", "pkg/e.py"]
+    assert [r.path for r in files.node_files(paths).collect()] == ["f.ts", "h.spec.tsx", "k.mjs", "n.JSX"]
+    assert [r.path for r in files.java_files(paths).collect()] == ["A.java", "gen/D.java"]
+    assert {r.language: r.files for r in files.languages(paths).collect()} == {"python": 5, "typescript": 5, "javascript": 4, "java": 4}
+    assert {r.language: r.files for r in files.worker_languages(paths).collect()} == {"python": 6, "typescript": 5, "javascript": 4, "java": 4}
+    with pytest.raises(ValueError):
+        files.worker_languages(paths.where("path = 'x'"))
+
+
+@pytest.mark.parametrize("body,want", [
+    ("pass", (1, 0, 0)), ("if a:\n  b()\nelif c:\n  d()\nelif e:\n  f()\nelse:\n  g()", (4, 5, 2)), ("if a:\n  b()\nelse:\n  if c:\n    d()", (3, 4, 3)), ("assert a and b or c", (4, 3, 0)),
+    ("for x in y:\n  pass\nelse:\n  while z:\n    pass", (3, 4, 3)), ("try:\n  a()\nexcept A:\n  b()\nfinally:\n  if c:\n    d()", (3, 4, 2)), ("with a:\n  x = [i for i in j if i if k]\n  y = 1 if z else 2", (4, 6, 1)), ("match a:\n  case 1:\n    pass\n  case _:\n    pass", (4, 5, 1)),
+    ("if a:\n  x()\nelif b:\n  x()\nelif c:\n  x()\nelif d:\n  x()\nelif e:\n  x()\nassert f", (7, 10, 2)),
+])
+def test_python_complexity(body, want):
+    import ast
+
+    assert python_source.complexity(ast.parse(body).body) == want
