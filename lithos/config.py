@@ -89,3 +89,11 @@ RULES = [
 SEVERITIES = ("critical", "major", "minor", "info")
 #: What a finding of each severity costs, per 1000 lines.
 SEVERITY_COST = {"critical": 25.0, "major": 6.0, "minor": 1.5, "info": 0.3}
+
+
+def rule(rule_id: str) -> tuple[str, str, str, str]:
+    """The catalogue's entry of a rule; an unknown one is an error."""
+    for r in RULES:
+        if r[0] == rule_id:
+            return r
+    raise KeyError(rule_id)

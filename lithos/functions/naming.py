@@ -39,6 +39,27 @@ def bytes_text(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(tenths(1024), F.lit(" KB"))).otherwise(F.concat(tenths(1024 * 1024), F.lit(" MB")))
 
 
+def tenths(x: Column) -> Column:
+    """With one decimal, half up."""
+    t = F.floor(x * 10 + 0.5).cast("long")
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
+def number_text(n: Column) -> Column:
+    """1.2k, 3.4M, or the whole number."""
+    return F.when(n >= 1_000_000, F.concat(tenths(n / 1_000_000), F.lit("M"))).when(n >= 1000, F.concat(tenths(n / 1000), F.lit("k"))).otherwise(n.cast("string"))
+
+
+def age_text(seconds: Column, day: Column) -> Column:
+    """just now, minutes, hours or days ago, each rounded from the one before; beyond a month the day itself."""
+    half_up = lambda x: F.floor(x + 0.5)
+    m = half_up(seconds / 60)
+    h = half_up(m / 60)
+    d = half_up(h / 24)
+    text = lambda x, unit: F.concat(x.cast("string"), F.lit(unit))
+    return F.when(seconds < 60, "just now").when(m < 60, text(m, "m ago")).when(h < 24, text(h, "h ago")).when(d < 30, text(d, "d ago")).otherwise(day)
+
+
 def ratio_text(x: Column) -> Column:
     """Whole per cent; a dash for no value."""
     return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.concat(F.floor(x * 100 + 0.5).cast("string"), F.lit("%")))

@@ -13,7 +13,7 @@ from lithos import config
 from lithos.functions import scalars as sc
 from lithos.functions import naming
 from lithos.operators import clones, graph, metrics, resolution, rules
-from lithos.plans import naming_queries, queries, registry  # noqa: F401
+from lithos.plans import naming_queries, queries, registry, report_queries  # noqa: F401
 from lithos.sources import files, python_source
 
 DATA = "/root/testdata/sf0.001"
