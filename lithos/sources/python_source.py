@@ -80,7 +80,11 @@ def branches(node: ast.AST) -> int:
     return ways
 
 
-def unit_facts(fn: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) -> dict:
+def code_lines(lines: list[str], node: ast.AST) -> int:
+    return sum(bool(x.strip()) and not x.strip().startswith("#") for x in lines[node.lineno - 1 : node.end_lineno])
+
+
+def unit_facts(fn: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None, lines: list[str]) -> dict:
     cyc, cog, depth = complexity(fn.body)
     args = [*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs]
     defaults = {id(x) for d in (*fn.args.defaults, *fn.args.kw_defaults) if d is not None for x in ast.walk(d)}
@@ -88,7 +92,7 @@ def unit_facts(fn: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) ->
     elifs = {id(n.orelse[0]) for n in walk if isinstance(n, ast.If) and branches(n) > 1}
     conditions = [n.test for n in walk if isinstance(n, (ast.If, ast.While, ast.Assert))] + [n.value for n in walk if isinstance(n, ast.Return) and n.value]
     return {
-        "kind": "method" if owner else "function", "class_name": owner, "name": fn.name, "start": fn.lineno, "end": fn.end_lineno, "complexity": cyc, "cognitive": cog, "max_depth": depth,
+        "kind": "method" if owner else "function", "class_name": owner, "name": fn.name, "start": fn.lineno, "end": fn.end_lineno, "loc": code_lines(lines, fn), "complexity": cyc, "cognitive": cog, "max_depth": depth,
         "params": len(args), "annotated": sum(a.annotation is not None for a in args), "empty_catches": sum(isinstance(n, ast.ExceptHandler) and all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and s.value.value is ... for s in n.body) for n in walk),
         "magic_numbers": sum(isinstance(n, ast.Constant) and type(n.value) in (int, float) and n.value not in PLAIN_NUMBERS and id(n) not in defaults for n in walk),
         "boolean_operators": max((sum(len(b.values) - 1 for b in ast.walk(c) if isinstance(b, ast.BoolOp)) for c in conditions), default=0), "largest_match": max((branches(n) for n in walk if isinstance(n, (ast.Match, ast.If)) and id(n) not in elifs), default=0),
@@ -96,12 +100,15 @@ def unit_facts(fn: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) ->
     }
 
 
-UNIT = "file string, kind string, class_name string, name string, start int, end int, complexity int, cognitive int, max_depth int, params int, annotated int, empty_catches int, magic_numbers int, boolean_operators int, largest_match int, branches array<int>, error string"
+UNIT = "file string, kind string, class_name string, name string, start int, end int, loc int, complexity int, cognitive int, max_depth int, params int, annotated int, empty_catches int, magic_numbers int, boolean_operators int, largest_match int, branches array<int>, error string"
 IMPORT = "file string, module string, level int"
 
 
 def units(files: DataFrame) -> DataFrame:
-    """One row per top-level function and method of (file, text); a file that does not parse gives one row with its error."""
+    """One row per top-level function and method of (file, text); a file that does not parse gives one row with its error.
+
+    Classes with a decorator and their methods are left out, as they are in ``classes``.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in UNIT.split(", ")]
@@ -113,16 +120,42 @@ def units(files: DataFrame) -> DataFrame:
                 except (SyntaxError, ValueError, RecursionError) as e:
                     rows.append({"file": file, "error": type(e).__name__})
                     continue
+                lines = (text or "").splitlines()
                 for node in tree.body:
                     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                        rows.append({"file": file, **unit_facts(node, None)})
-                    elif isinstance(node, ast.ClassDef):
-                        rows += [{"file": file, **unit_facts(m, node.name)} for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
+                        rows.append({"file": file, **unit_facts(node, None, lines)})
+                    elif isinstance(node, ast.ClassDef) and not node.decorator_list:
+                        rows += [{"file": file, **unit_facts(m, node.name, lines)} for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     return files.select("file", "text").mapInPandas(run, UNIT)
 
 
+CLASS = "file string, name string, start int, end int, loc int, methods int, attributes int"
+
+
+def classes(files: DataFrame) -> DataFrame:
+    """One row per top-level class without a decorator: its size, methods and the names that its body assigns."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in CLASS.split(", ")]
+        for pdf in parts:
+            rows = []
+            for file, text in zip(pdf.file, pdf.text, strict=True):
+                try:
+                    tree = ast.parse(text or "")
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+                lines = (text or "").splitlines()
+                for c in tree.body:
+                    if isinstance(c, ast.ClassDef) and not c.decorator_list:
+                        assigned = [t for n in c.body for t in (n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []) if isinstance(t, ast.Name)]
+                        rows.append((file, c.name, c.lineno, c.end_lineno, code_lines(lines, c), sum(isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) for n in c.body), len(assigned)))
+            yield pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(names)})
+
+    return files.select("file", "text").mapInPandas(run, CLASS)
+
+
 def imports(files: DataFrame) -> DataFrame:
     """Top-level imports: module and level of relative ones."""
 
