@@ -40,9 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings that start earlier as well; a document of which nothing is left goes."""
-    out = repeats.without_repeats(docs.withColumn("_had", F.length(F.trim("text"))))
-    out = out.where((F.length(F.trim("text")) > 0) | F.col("_had").isNull() | (F.col("_had") == 0))
+    """Cuts strings that start earlier as well; a document of which only blanks are left goes."""
+    out = repeats.without_repeats(docs.withColumn("_had", F.coalesce(F.col("text").rlike("\\S"), F.lit(False))))
+    out = out.where(F.col("text").rlike("\\S") | ~F.col("_had"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
