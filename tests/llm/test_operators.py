@@ -469,7 +469,26 @@ def test_pipeline(spark, tmp_path):
     two = corpus_pipeline.drop_near_duplicates(spark, d, "")
     ids = [r.doc_id for r in two.collect()]
     assert two.columns == d.columns and len(set(ids)) == len(ids) and None in ids
-    assert corpus_pipeline.cut_repeats(spark, d, "").columns == d.columns
+    three = corpus_pipeline.cut_repeats(spark, d, "")
+    assert three.columns == d.columns
+    cut = {r.doc_id: r for r in three.collect()}
+    seen: set[bytes] = set()
+    for k, t in enumerate(TEXTS):
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 99):
+            gone[p : p + 100] |= raw[p : p + 100] in seen
+            seen.add(raw[p : p + 100])
+        left = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        if k != 7 and t is not None:  # 7 is there twice
+            assert ((cut[k].text, cut[k].n_chars) if k in cut else None) == ((left, len(left)) if left.strip() or not t.strip() else None), k
+    four = corpus_pipeline.mix_sources(spark, d, "")
+    assert four.columns == d.columns and {r.doc_id for r in four.collect()} == {r[0] for r in rows}
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sp_bpe.default_model())
+    five = corpus_pipeline.encode_pieces(spark, d, "").collect()
+    assert len(five) == len(rows) and all(r.ids == [*sp.encode(dict((x[0], x[1]) for x in rows)[r.doc_id] or ""), sp.eos_id()] and r.n_tokens == len(r.ids) for r in five)
     assert corpus_pipeline.run(spark, f"{tmp_path}/in").count() > 0
     empty = d.where("false")
     for _, stage in corpus_pipeline.STAGES:
