@@ -40,9 +40,9 @@ from pyspark.sql import types as T
 from lithos.llm.common import hold, slices, table
 
 SPACE = "▁"
-#: Parts kept in each of two generations, and pairs: a worker's tables stay under some 90 MB.
-KEEP_PARTS = 150_000
-KEEP_PAIRS = 200_000
+#: Parts kept in each of two generations, and pairs: a worker's tables stay under some 120 MB.
+KEEP_PARTS = 240_000
+KEEP_PAIRS = 300_000
 LONGEST_KEPT = 48
 #: Bytes of texts whose ids are held at once.
 TOGETHER = 1 << 18
